@@ -20,7 +20,7 @@ ALNUM = bytes(
 LOWER_WS = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 _RNG = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte, the base of the polynomial hashes and its inverse modulo 2^64.
-BYTE_TAB = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
+BYTE_TAB = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -161,3 +161,28 @@ def text_bytes(docs: DataFrame) -> tuple[int, int]:
 
 def salted(key: Column, salts: int, by: Column) -> Column:
     return F.pmod(F.xxhash64(key, by), F.lit(salts)).cast("int")
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run-length code: values and counts."""
+    at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return values[at], np.diff(np.append(at, len(values))).astype(np.uint32)
+
+
+def cuts_by(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted buckets: their values, and the bounds of their ranges."""
+    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[at], np.append(at, len(bucket))
+
+
+def bucket_of(name: np.ndarray, n: int) -> np.ndarray:
+    """0..n-1 from a name's lower half, evenly."""
+    return ((name & U64(0xFFFFFFFF)) * U64(n) >> U64(32)).astype(np.int64)
+
+
+def packed(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
