@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, suffix_dedup, token_files
+from . import decontaminate, licenses, ngram_join, packing, suffix_dedup, token_files
 
-MODULES = (decontaminate, licenses, suffix_dedup, token_files, packing)
+MODULES = (decontaminate, licenses, suffix_dedup, token_files, ngram_join, packing)
 
 
 def queries() -> dict:
