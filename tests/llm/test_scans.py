@@ -105,7 +105,7 @@ def test_cached_parts_give_the_ids_of_whole_texts(name, mode):
     tok, enc = Tokenizer.from_file(path), encoder(path, mode)
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(alphabet=st.sampled_from(list("aB'st1 .,\n\t-é́　\x85\x1c\x00ß#<|>日Σ")), max_size=40))
+    @given(st.text(alphabet=st.sampled_from(list("aB_*%5²'st1 .,\n\t-é́　\x85\x1c\x00ß#<|>日Σ")), max_size=40))
     def same(t):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
 
