@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, ngram_join, packing, quality_labels, quality_rules, suffix_dedup, token_files, toxicity
+from . import decontaminate, licenses, ngram_join, packing, quality_labels, quality_rules, suffix_dedup, token_files, toxicity, warc
 
-MODULES = (decontaminate, quality_labels, licenses, toxicity, suffix_dedup, quality_rules, token_files, ngram_join, packing)
+MODULES = (decontaminate, quality_labels, licenses, toxicity, suffix_dedup, quality_rules, warc, token_files, ngram_join, packing)
 
 
 def queries() -> dict:
