@@ -9,8 +9,8 @@ PERCENT / 100 or more. No step forms all pairs of a group of equal documents or
    Those in two or more classes are posted. A posting list is cut where sizes differ too much to link, and each part is
    named by its least class; classes under one name form a tile group.
 4. Tiles of a group have at most TILE classes, in order of size. Sizes, then the XOR of folded bitmaps bound the
-   overlap from above; what remains is intersected exactly. A pair that shares several groups counts in the one of the
-   least name.
+   overlap from above. First only bitmaps go to the tiles, and then, to smaller ones, the sets of the classes that may
+   have links; those are intersected exactly. A pair that shares several groups counts in the one of the least name.
 5. Tiles return, for each class, the number of linked documents and one edge of the tile's spanning forest.
 
 Costs in one group of different, mutually near texts grow with the square of its classes, divided into tiles.
@@ -130,7 +130,9 @@ def _level(df: np.ndarray) -> np.ndarray:
 
 def _frequencies(table: pa.Table) -> pa.Table:
     t = {k: table.column(k).to_pylist() for k in table.column_names}
-    key = np.frombuffer(b"".join(t["tok"]), np.uint32)
+    wide = np.zeros((sum(map(len, t["cnt"])), 4), np.uint8)
+    wide[:, :3] = np.frombuffer(b"".join(t["tok"]), np.uint8).reshape(-1, 3)
+    key = wide.reshape(-1).view(np.uint32)
     cnt = np.frombuffer(b"".join(t["cnt"]), np.uint8).astype(np.int64)
     o = np.argsort(key, kind="stable")
     first = np.concatenate(([True], key[o][1:] != key[o][:-1]))
@@ -164,14 +166,54 @@ def _groups(percent: int):
     return run
 
 
+def width_for(n: int) -> int:
+    """Bits of the bitmap of n shingles: at least 2 n, so that unlike sets are told apart."""
+    return max(256, 1 << int(2 * n - 1).bit_length())
+
+
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
     """Parity of the shingles that hash to each of the bits; folding halves by XOR gives the shorter bitmap."""
     odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _bits_for(n: int) -> int:
-    return max(256, 1 << int(2 * n - 1).bit_length())
+class Bounds:
+    """Which pairs of sets, in order of size, may overlap enough: an overlap is at most (n_i + n_j - ones of the XOR) / 2."""
+
+    def __init__(self, n: np.ndarray, maps: list[np.ndarray], percent: int):
+        self.n, self.maps, self.percent = n, maps, percent
+        self.width = np.array([len(m) for m in maps])
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self.by_width:
+            at, rows = np.full(len(self.maps), -1), []
+            for i in np.flatnonzero(self.width >= width).tolist():
+                m = self.maps[i]
+                while len(m) > width:
+                    m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+                at[i] = len(rows)
+                rows.append(m)
+            self.by_width[width] = at, np.stack(rows)
+        return self.by_width[width]
+
+    def may(self, i: int, j: np.ndarray) -> np.ndarray:
+        at, rows = self._folded(int(self.width[i]))
+        ones = np.bitwise_count(rows[at[j]] ^ rows[at[i]]).sum(axis=1, dtype=np.int64)
+        total = self.n[i] + self.n[j]
+        most = (total - ones) // 2
+        return 100 * most >= self.percent * (total - most)
+
+
+def partners(n: np.ndarray, side: np.ndarray | None, percent: int):
+    """(i, the j > i of a size that can link), in order of size; with side only between unlike sides."""
+    hi = np.searchsorted(percent * n, 100 * n, side="right")
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, hi[i])
+        if side is not None:
+            j = j[side[j] != side[i]]
+        if len(j):
+            yield i, j
 
 
 class Tile:
@@ -185,32 +227,25 @@ class Tile:
 
     def links(self):
         """Pairs (i, array of j > i) in the order of size."""
-        n, c, percent = self.n, len(self.n), self.percent
-        hi = np.searchsorted(percent * n, 100 * n, side="right")
+        n, percent = self.n, self.percent
         local, ids = np.unique(np.concatenate(self.sets), return_inverse=True)
         ends = np.concatenate(([0], np.cumsum(n)))
         lower: dict[int, list[int]] = {}
         for i, names in enumerate(self.names):
             for x in names[names < self.m].tolist():
                 lower.setdefault(x, []).append(i)
-        done: list[list[np.ndarray]] = [[] for _ in range(c)]
+        done: dict[int, list[np.ndarray]] = {}
         for members in lower.values():
-            if len(members) > 1:
-                arr = np.array(members)
-                for k, i in enumerate(members[:-1]):
-                    done[i].append(arr[k + 1 :])
-        maps: dict[tuple[int, int], np.ndarray] = {}
-        bits = np.array([_bits_for(x) for x in n.tolist()])
+            arr = np.array(members)
+            for k, i in enumerate(members[:-1]):
+                done.setdefault(i, []).append(arr[k + 1 :])
+        bounds = Bounds(n, [bitmap(s, width_for(len(s))) for s in self.sets], percent)
         flags = np.zeros(len(local), bool)
-        for i in range(c - 1):
-            j = np.arange(i + 1, hi[i])
-            if self.side is not None:
-                j = j[self.side[j] != self.side[i]]
-            if done[i]:
-                j = np.setdiff1d(j, np.concatenate(done[i]), assume_unique=False)
-            if not len(j):
-                continue
-            j = j[self._bound(maps, bits, i, j)]
+        for i, j in partners(n, self.side, percent):
+            if i in done:
+                j = np.setdiff1d(j, np.concatenate(done[i]))
+            if len(j):
+                j = j[bounds.may(i, j)]
             if not len(j):
                 continue
             mine = ids[ends[i] : ends[i + 1]]
@@ -225,35 +260,48 @@ class Tile:
             if len(j):
                 yield i, j
 
-    def _bound(self, maps: dict, bits: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
-        """Which j may overlap enough: an overlap is at most (n_i + n_j - ones of the XOR) / 2."""
-        width = int(bits[i])  # n ascends, so the other's bitmap is as long or twice as long, and folds
-        key = width.bit_length()
-        rows = maps.get((key, 0))
-        if rows is None:
-            rows = maps[key, 0] = {}
-        for x in (i, *j.tolist()):
-            if x not in rows:
-                rows[x] = bitmap(self.sets[x], width)
-        ones = np.bitwise_count(np.stack([rows[x] for x in j.tolist()]) ^ rows[i]).sum(axis=1).astype(np.int64)
-        total = self.n[i] + self.n[j]
-        return 100 * ((total - ones) // 2) >= self.percent * (total - (total - ones) // 2)
+
+def _tiles(table: pa.Table):
+    """Rows of each tile with two rows or more, and its sides where it lies between two parts of a group."""
+    m, a, b, side = (table.column(k).to_numpy() for k in ("m", "a", "b", "side"))
+    o = np.lexsort((b, a, m))
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(m[o]) != 0) | (np.diff(a[o]) != 0) | (np.diff(b[o]) != 0), [True])))
+    for x, y in zip(cut[:-1], cut[1:]):
+        r = o[x:y]
+        if len(r) > 1:
+            yield int(m[r[0]]), r, side[r] if a[r[0]] != b[r[0]] else None
+
+
+def _sift(percent: int):
+    """By bitmaps alone: the classes of each group that may have a link in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, n = (table.column(k).to_numpy() for k in ("h", "n"))
+        maps = table.column("map").to_pylist()
+        out: list[list] = [[], [], []]
+        for m, r, side in _tiles(table):
+            r, side = (r[(s := np.lexsort((h[r], n[r])))], None if side is None else side[s])
+            bounds, keep = Bounds(n[r], [np.frombuffer(maps[k], np.uint64) for k in r], percent), np.zeros(len(r), bool)
+            for i, j in partners(n[r], side, percent):
+                j = j[bounds.may(i, j)]
+                if len(j):
+                    keep[i] = True
+                    keep[j] = True
+            for col, v in zip(out, ([m] * int(keep.sum()), h[r[keep]].tolist(), n[r[keep]].tolist())):
+                col += v
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["m", "h", "n"])
+
+    return run
 
 
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        m, a, b = (table.column(k).to_numpy() for k in ("m", "a", "b"))
-        h, n, cnt, side = (table.column(k).to_numpy() for k in ("h", "n", "cnt", "side"))
+        h, n, cnt = (table.column(k).to_numpy() for k in ("h", "n", "cnt"))
         arr, names = table.column("arr").to_pylist(), table.column("names").to_pylist()
-        o = np.lexsort((b, a, m))
-        cut = np.flatnonzero(np.concatenate(([True], (np.diff(m[o]) != 0) | (np.diff(a[o]) != 0) | (np.diff(b[o]) != 0), [True])))
         out: list[list] = [[], [], [], []]
-        for x, y in zip(cut[:-1], cut[1:]):
-            r = o[x:y]
-            if len(r) < 2:
-                continue
+        for m, r, side in _tiles(table):
             sets = [unpack_sets([arr[k]]) for k in r]
-            t = Tile(int(m[r[0]]), h[r], n[r], side[r] if a[r[0]] != b[r[0]] else None, [np.frombuffer(names[k], np.int64) for k in r], sets, percent)
+            t = Tile(m, h[r], n[r], side, [np.frombuffer(names[k], np.int64) for k in r], sets, percent)
             weight, links, root = cnt[r][t.o], np.zeros(len(r), np.int64), list(range(len(r)))
 
             def find(u: int) -> int:
@@ -288,7 +336,8 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     def count(key, table):
         b = Block(table)
         tok, _, cnt, o, (bucket, bounds) = b.distinct(buckets)
-        t, c = (tok[o] >> U64(24)).astype(np.uint32), np.minimum(cnt[o], 255).astype(np.uint8)
+        t = (tok[o] >> U64(32)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]  # equal keys of unlike shingles only make these seem more frequent
+        c = np.minimum(cnt[o], 255).astype(np.uint8)
         parts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         return pa.table(
             [pa.array(bucket), pa.array([key[0].as_py()] * len(bucket), pa.int64()), pa.array([t[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([c[i:j].tobytes() for i, j in parts], pa.binary())],
@@ -322,34 +371,47 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
             cols.append(pa.array([v[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary()))
         return pa.table(cols, names=["bucket", "tok", "h", "n"])
 
-    def deal(key, table, wanted):
-        b = Block(table)
-        at = {k: i for i, k in enumerate(b.keys)}
-        out: list[list] = [[] for _ in range(9)]
-        rows = wanted.to_pylist()
-        names: dict[tuple[int, int], set] = {}
-        for r in rows:
-            names.setdefault((r["h"], r["n"]), set()).add(r["m"])
-        own = {k: np.array(sorted(v), np.int64).tobytes() for k, v in names.items()}
-        for r in rows:
-            k = (r["h"], r["n"])
-            arr, cnt, _ = b.rows[at[k]]
-            side = r["h"] % r["tiles"]
-            for other in range(r["tiles"]):
-                for col, v in zip(out, (r["m"], min(side, other), max(side, other), *k, cnt, side, arr, own[k])):
-                    col.append(v)
-        types = [pa.int64()] * 7 + [pa.binary()] * 2
-        return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["m", "a", "b", "h", "n", "cnt", "side", "arr", "names"])
+    def deal(kinds: list, names: list[str], more):
+        """Sends each wanted class to the tiles of its group: all pairs of parts that hold its own."""
+
+        def run(key, table, wanted):
+            b = Block(table)
+            at = {k: i for i, k in enumerate(b.keys)}
+            out: list[list] = [[] for _ in range(6 + len(kinds))]
+            rows = wanted.to_pylist()
+            groups: dict[tuple[int, int], list[int]] = {}
+            for r in rows:
+                groups.setdefault((r["h"], r["n"]), []).append(r["m"])
+            extra = {k: more(b, at[k], v) for k, v in groups.items()}
+            for r in rows:
+                k, side = (r["h"], r["n"]), r["h"] % r["tiles"]
+                for other in range(r["tiles"]):
+                    for col, v in zip(out, (r["m"], min(side, other), max(side, other), *k, side, *extra[k])):
+                        col.append(v)
+            return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 6 + kinds)], names=["m", "a", "b", "h", "n", "side", *names])
+
+        return run
+
+    def with_map(b: Block, i: int, groups: list[int]) -> tuple:
+        return (bitmap(b.tokens[b.ends[i] - b.size[i] : b.ends[i]], width_for(int(b.size[i]))).tobytes(),)
+
+    def with_set(b: Block, i: int, groups: list[int]) -> tuple:
+        return b.rows[i][1], b.rows[i][0], np.array(sorted(set(groups)), np.int64).tobytes()
+
+    def tiled(named: DataFrame):
+        large = named.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TILE).select(F.col("m").alias("lm"), F.ceil(F.col("c") / TILE).cast("long").alias("tiles"))
+        return named.join(large, named.m == large.lm, "left").select("m", "h", "n", F.coalesce("tiles", F.lit(1)).cast("long").alias("tiles")).withColumn("block", block()).groupBy("block")
 
     counts = grouped.applyInArrow(count, "bucket long, block long, tok binary, cnt binary")
     levels = counts.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket long, level binary")
     posts = grouped.cogroup(levels.groupBy("block")).applyInArrow(post, "bucket long, tok binary, h binary, n binary")
     named = posts.groupBy("bucket").applyInArrow(_groups(percent), "m long, h long, n long").distinct()
-    large = named.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TILE).select(F.col("m").alias("lm"), F.ceil(F.col("c") / TILE).cast("long").alias("tiles"))
-    tiled = named.join(large, named.m == large.lm, "left").select("m", "h", "n", F.coalesce("tiles", F.lit(1)).cast("long").alias("tiles")).withColumn("block", block())
-    dealt = grouped.cogroup(tiled.groupBy("block")).applyInArrow(deal, "m long, a long, b long, h long, n long, cnt long, side long, arr binary, names binary")
-    task = F.pmod(F.xxhash64("m", "a", "b"), F.lit(4 * buckets))
-    return dealt.groupBy(task.alias("task")).applyInArrow(_compare(percent), "h long, n long, links long, root long")
+    task = F.pmod(F.xxhash64("m", "a", "b"), F.lit(4 * buckets)).alias("task")
+    place = "m long, a long, b long, h long, n long, side long"
+    maps = grouped.cogroup(tiled(named)).applyInArrow(deal([pa.binary()], ["map"], with_map), f"{place}, map binary")
+    likely = maps.groupBy(task).applyInArrow(_sift(percent), "m long, h long, n long").distinct()
+    sets = grouped.cogroup(tiled(likely)).applyInArrow(deal([pa.int64(), pa.binary(), pa.binary()], ["cnt", "arr", "names"], with_set), f"{place}, cnt long, arr binary, names binary")
+    return sets.groupBy(task).applyInArrow(_compare(percent), "h long, n long, links long, root long")
 
 
 def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
@@ -417,7 +479,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, driver_edges: int = D
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group that links connect: the first of the least doc_id. All columns stay, and rows that link with nothing."""
+    """docs with one document of each group that links connect, that of the least doc_id. All columns stay, rows that link with nothing, and rows with a null doc_id, which no id can name."""
     links = jaccard_links(docs, percent)
     gone = links.where("component_id <> doc_id or (component_id is not null and doc_id is null)").select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
