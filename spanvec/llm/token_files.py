@@ -24,7 +24,7 @@ from .tokens import encoder, tokenizer_path
 MAGIC, VERSION = b"DACTOKEN", 1
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: Bytes of text that go to one file.
-FILE_TEXT_BYTES = 24 << 20
+FILE_TEXT_BYTES = 12 << 20
 SUPER = 8  # words of the bitmap under one entry of the rank directory
 
 

@@ -105,7 +105,7 @@ def test_cached_parts_give_the_ids_of_whole_texts(name, mode):
     tok, enc = Tokenizer.from_file(path), encoder(path, mode)
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(alphabet=st.sampled_from(list("aB_*%5²'st1 .,\n\t-é́　\x85\x1c\x00ß#<|>日Σ")), max_size=40))
+    @given(st.text(alphabet=st.sampled_from(list("aÉ,..B_*%5²'st1 .,\n\t-é́　\x85\x1c\x00ß#<|>日Σ")), max_size=40))
     def same(t):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
 
@@ -157,3 +157,18 @@ def test_token_files(spark, docs, tmp_path):
         at += len(ids)
     empty = tf.write_token_files(docs.limit(0), path, f"file://{tmp_path}/e")
     assert tf.read_token_files(empty, f"file://{tmp_path}/e").count() == 0
+
+
+@pytest.mark.parametrize("name,mode", [(tf.TOKENIZER, "drop"), (pk.TOKENIZER, "space")])
+def test_words_given_to_the_model(name, mode):
+    path = public_tokenizers.path(name)
+    tok, enc = Tokenizer.from_file(path), encoder(path, mode)
+    assert enc.get.__self__.direct
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.text(alphabet=st.sampled_from(list("abthéñßÅµªºΣσςİıK")), max_size=9), max_size=6))
+    def same(words):
+        t = " ".join(words)
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+    same()
