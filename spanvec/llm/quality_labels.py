@@ -147,7 +147,10 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tu
     d = doc_columns(docs)
     seen = sorted((r.pattern, r.n) for r in _patterns(d).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect())
     model = expectation_maximisation(unpattern([p for p, _ in seen]).reshape(-1, len(LABELLERS)), np.array([n for _, n in seen], np.float64))
-    some = d.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    # the hashes alone are ordered; then only about as many texts as are used leave their tasks
+    can, order = d.where(F.col("text").isNotNull() & (F.length("text") <= chars)), F.xxhash64("doc_id")
+    last = can.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    some = can.where(order <= F.lit(last if last is not None else 0)).orderBy(order, "doc_id", "text").limit(rows).collect()
     texts = [r.text.encode() for r in some]
     target = model.posterior(votes(stats(texts)[1])) if texts else np.zeros(0)
     return model, train_scorer(texts, target)
