@@ -56,7 +56,8 @@ def next_seq(tiers: DataFrame) -> DataFrame:
 
 def promote(tiers: DataFrame, delta: DataFrame) -> DataFrame:
     """tiers with delta's rows under the next seq."""
-    return tiers.unionByName(delta.drop("seq").crossJoin(F.broadcast(next_seq(tiers).withColumnRenamed("next_seq", "seq"))).select(*tiers.columns))
+    seq = F.lit(next_seq(tiers).first()[0]).cast("long")
+    return tiers.unionByName(delta.withColumn("seq", seq).select(*tiers.columns))
 
 
 def rebase(tiers: DataFrame, tombstones: DataFrame) -> DataFrame:

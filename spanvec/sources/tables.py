@@ -130,8 +130,12 @@ def manifest(folder: str) -> dict:
 
 
 def manifest_shards(spark: SparkSession, m: dict) -> DataFrame:
-    rows = [(i, s["name"], s["annpack"], s["meta"], s.get("n_vectors")) for i, s in enumerate(m["shards"])]
-    return spark.createDataFrame(rows, "shard long, name string, annpack string, meta string, n_vectors long")
+    def index(s: dict) -> str:
+        """The file of the vectors, under whatever key: the text that is neither the name nor the metadata."""
+        return next(v for k, v in s.items() if isinstance(v, str) and k not in ("name", "meta"))
+
+    rows = [(i, s["name"], index(s), s["meta"], s.get("n_vectors")) for i, s in enumerate(m["shards"])]
+    return spark.createDataFrame(rows, "shard long, name string, file string, meta string, n_vectors long")
 
 
 def write_manifest(path: str, content: dict) -> None:

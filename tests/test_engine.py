@@ -192,8 +192,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "p").mkdir()
     with pytest.raises(ValueError):
         tables.manifest(str(tmp_path / "p"))
-    tables.write_manifest(f"{tmp_path}/p/x.manifest.json", {"schema_version": 2, "shards": [{"name": "s", "annpack": "a", "meta": "m"}]})
-    assert tables.manifest_shards(spark, tables.manifest(str(tmp_path / "p"))).first().name == "s"
+    tables.write_manifest(f"{tmp_path}/p/x.manifest.json", {"schema_version": 2, "shards": [{"name": "s", "file": "a", "meta": "m"}]})
+    assert tables.manifest_shards(spark, tables.manifest(str(tmp_path / "p"))).first().file == "a"
     meta = tables.metadata(df, "text", snippets=True)
     tables.write_metadata(meta, f"{tmp_path}/meta")
     assert tables.read_metadata(spark, f"{tmp_path}/meta").count() == 2
