@@ -20,6 +20,7 @@ from .common import ALNUM, BYTE_TAB, U64, binaries, chunks, doc_columns, longs,
 
 WINDOW, STEP = 32, 16
 HIDDEN, ATT = 8, 8
+#: Each word and n-gram has a bucket in either of two tables; the weaker evidence counts, so that sharing one bucket does no harm.
 BUCKET_BITS = 18
 NGRAMS = (4, 5, 6)
 N_FEATURES = 8
@@ -31,14 +32,23 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def _buckets(h: np.ndarray) -> np.ndarray:
+    return np.stack((h >> U64(64 - BUCKET_BITS), h >> U64(64 - 2 * BUCKET_BITS) & U64((1 << BUCKET_BITS) - 1))).astype(np.int64)
+
+
+def _weaker(odds: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    a, b = odds[0][buckets[0]], odds[1][buckets[1]]
+    return np.where(np.abs(a) < np.abs(b), a, b)
+
+
 @dataclass
 class Words:
     """Distinct words of some texts and, for each text, the numbers of its words."""
 
-    word: np.ndarray  # bucket of each distinct word
-    grams: np.ndarray  # bucket of each character n-gram
+    word: np.ndarray  # two buckets of each distinct word
+    grams: np.ndarray  # two buckets of each character n-gram
     begin: np.ndarray  # where each distinct word's n-grams begin
-    lead: np.ndarray  # the buckets of each word's first n-gram of each length
+    lead: np.ndarray  # of each length, the two buckets of each word's first n-gram
     size: np.ndarray
     ids: np.ndarray
     bound: np.ndarray
@@ -58,32 +68,31 @@ class Words:
         buf[at] = 94
         f, inv = powers(len(buf) + 1)
         p = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_TAB[buf] * f[: len(buf)])))
-        shift = U64(64 - BUCKET_BITS)
         grams, owners = [], []
-        lead = np.zeros((len(NGRAMS), len(first)), np.int64)
+        lead = np.zeros((len(NGRAMS), 2, len(first)), np.int64)
         for k, n in enumerate(NGRAMS):
             m = np.minimum(n, padded)  # a shorter word is its own n-gram
             ok = off + m[owner] <= padded[owner]
             i = np.flatnonzero(ok)
             w = m[owner[i]]
-            g = (mix((p[i + w] - p[i]) * inv[i] + U64(n)) >> shift).astype(np.int64)
+            g = _buckets(mix((p[i + w] - p[i]) * inv[i] + U64(n)))
             grams.append(g)
             owners.append(owner[i])
-            if len(g):
-                lead[k] = g[np.searchsorted(owners[-1], np.arange(len(first)))]
-        g, o = np.concatenate(grams), np.concatenate(owners)
+            if g.shape[1]:
+                lead[k] = g[:, np.searchsorted(owners[-1], np.arange(len(first)))]
+        g, o = np.concatenate(grams, axis=1), np.concatenate(owners)
         s = np.argsort(o, kind="stable")
-        return cls((h[first] >> shift).astype(np.int64), g[s], np.searchsorted(o[s], np.arange(len(first))), lead, size, ids, bound)
+        return cls(_buckets(h[first]), g[:, s], np.searchsorted(o[s], np.arange(len(first))), lead, size, ids, bound)
 
 
 def counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Texts that hold each bucket, for words and n-grams."""
-    n = 1 << BUCKET_BITS
-    word, gram = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    word, gram = np.zeros((2, 1 << BUCKET_BITS), np.int32), np.zeros((2, 1 << BUCKET_BITS), np.int32)
     for t in texts:
         w = Words.of([t])
-        word[np.unique(w.word)] += 1
-        gram[np.unique(w.grams)] += 1
+        for k in (0, 1):
+            word[k, np.unique(w.word[k])] += 1
+            gram[k, np.unique(w.grams[k])] += 1
     return word, gram
 
 
@@ -111,15 +120,15 @@ def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nda
 
 def features(w: Words, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
     """A row for each distinct word, and a last one for padding."""
-    x = np.zeros((len(w.word) + 1, N_FEATURES), np.float32)
+    x = np.zeros((len(w.size) + 1, N_FEATURES), np.float32)
     x[-1, 7] = 1
-    if len(w.word):
-        g = gram_odds[w.grams]
+    if len(w.size):
+        g = _weaker(gram_odds, w.grams)
         n = np.diff(np.append(w.begin, len(g)))
-        x[:-1, 0] = word_odds[w.word]
+        x[:-1, 0] = _weaker(word_odds, w.word)
         x[:-1, 1] = np.maximum(x[:-1, 0] - 1, 0)
         x[:-1, 2] = np.add.reduceat(g, w.begin) / n
-        x[:-1, 3:6] = gram_odds[w.lead].T
+        x[:-1, 3:6] = np.stack([_weaker(gram_odds, b) for b in w.lead], axis=1)
         x[:-1, 6] = np.maximum(x[:-1, 5] - 1, 0)
     return x
 
@@ -137,7 +146,7 @@ def window_ids(w: Words) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([s + b for s, b in zip(starts, w.bound[:-1])])
     end = np.repeat(w.bound[1:], np.diff(first))
     pos = at[:, None] + np.arange(WINDOW)
-    pad = len(w.word)
+    pad = len(w.size)
     return np.where(pos < end[:, None], np.append(w.ids, pad)[np.minimum(pos, len(w.ids))], pad), first
 
 
@@ -254,12 +263,12 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 0, e
     share of toxic texts, to which the calibration is weighted, as the sample is balanced. Deterministic.
     """
     y = np.asarray(labels) > 0
-    n = 1 << BUCKET_BITS
     own = unlike(texts)
     texts, y = [t for t, k in zip(texts, own) if k], y[own]
     if not len(texts) or y.all() or not y.any():
         net = Network(seed)
-        return Model(np.zeros(n, np.float32), np.zeros(n, np.float32), net, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
+        none = np.zeros((2, 1 << BUCKET_BITS), np.float32)
+        return Model(none, none, net, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
     r = np.random.default_rng(seed)
     fold = np.empty(len(y), np.int64)
     for c in (True, False):
