@@ -5,12 +5,14 @@ PERCENT / 100 or more. No step forms all pairs of a group of equal documents or
 
 1. Equal sets are one class; a batch sends each of its sets once, with a count. Classes are grouped into blocks.
 2. Blocks send their distinct shingles, with counts, to buckets; each gets back the shingle's rounded-down frequency.
-3. With shingles ordered from the rarest, linked sets share one among the first n - ceil(n * PERCENT / 100) + 1 of each.
-   Those in two or more classes are posted. A posting list is cut where sizes differ too much to link, and each part is
-   named by its least class; classes under one name form a tile group.
+3. With shingles ordered from the rarest, linked sets share SHARED - or all their common ones - among the first
+   n - ceil(n * PERCENT / 100) + SHARED of each. Those in two or more classes are posted. A posting list is cut where
+   sizes differ too much to link. Parts of up to SMALL classes only count their pairs, and a pair needs SHARED counts,
+   which chance rarely gives. A larger part is named by its least class, and classes under one name form a tile group.
 4. Tiles of a group have at most TILE classes, in order of size. Sizes, then the XOR of folded bitmaps bound the
    overlap from above. First only bitmaps go to the tiles, and then, to smaller ones, the sets of the classes that may
-   have links; those are intersected exactly. A pair that shares several groups counts in the one of the least name.
+   have links; those are intersected exactly. Before, a group takes the least name that its classes have, which merges most of
+   the groups of one cluster; a pair that still shares several groups counts in the one of the least name.
 5. Tiles return, for each class, the number of linked documents and one edge of the tile's spanning forest.
 
 Costs in one group of different, mutually near texts grow with the square of its classes, divided into tiles.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +35,9 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Edges up to which components are found on the driver; beyond, in Spark.
 DRIVER_EDGES = 200_000
 WIDTH = 7  # bytes of a shingle's hash
-_SETS = "h long, n long, arr binary, cnt long, mn long"
+#: Classes in a posting list up to which its pairs are counted, and how many shingles such a pair must share.
+SMALL, SHARED = 4, 4
+_SETS = "h long, n long, text binary, cnt long, mn long"
 
 
 def pack_set(a: np.ndarray) -> bytes:
@@ -76,24 +81,20 @@ def _members(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Each batch's distinct sets, with the number of documents and the least doc_id."""
+    """Each batch's distinct sets, as a text that has it, with the number of documents and the least doc_id. Compressed, a text is half its set's hashes."""
 
     def run(batch: pa.RecordBatch):
-        found: dict[bytes, list] = {}
-        ids, null = longs(batch.column("doc_id")), null_mask(batch.column("doc_id"))
-        for s, d, z in zip(shingle_sets(binaries(batch.column("text"))), ids.tolist(), null.tolist()):
+        found: dict[tuple[int, int], list] = {}
+        ids, null, texts = longs(batch.column("doc_id")), null_mask(batch.column("doc_id")), binaries(batch.column("text"))
+        for s, t, d, z in zip(shingle_sets(texts), texts, ids.tolist(), null.tolist()):
             if len(s):
-                x = found.setdefault(pack_set(s), [0, None])
-                x[0] += 1
+                x = found.setdefault((_hash(pack_set(s)), len(s)), [t, 0, None])
+                x[1] += 1
                 if not z:
-                    x[1] = d if x[1] is None else min(x[1], d)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([_hash(k) for k in found], pa.int64()), pa.array([len(k) // WIDTH for k in found], pa.int64()), pa.array(list(found), pa.binary()),
-                pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64()),
-            ],
-            ["h", "n", "arr", "cnt", "mn"],
-        )
+                    x[2] = d if x[2] is None else min(x[2], d)
+        small = zstandard.ZstdCompressor(level=3)
+        cols = [[h for h, _ in found], [n for _, n in found], [small.compress(x[0]) for x in found.values()], [x[1] for x in found.values()], [x[2] for x in found.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["h", "n", "text", "cnt", "mn"])
 
     return map_batches(docs, lambda: run, _SETS)
 
@@ -102,17 +103,22 @@ class Block:
     """A block's classes in order of (h, n), and their shingles."""
 
     def __init__(self, table: pa.Table):
-        t = {k: table.column(k).to_pylist() for k in ("h", "n", "arr", "cnt", "mn")}
+        t = {k: table.column(k).to_pylist() for k in ("h", "n", "text", "cnt", "mn")}
         found: dict[tuple[int, int], list] = {}
-        for h, n, arr, cnt, mn in zip(*t.values()):
-            x = found.setdefault((h, n), [arr, 0, None])
+        for h, n, text, cnt, mn in zip(*t.values()):
+            x = found.setdefault((h, n), [text, 0, None])
             x[1] += cnt
             x[2] = mn if x[2] is None else x[2] if mn is None else min(mn, x[2])
         self.keys = sorted(found)
         self.rows = [found[k] for k in self.keys]
         self.size = np.array([k[1] for k in self.keys], np.int64)
         self.ends = np.cumsum(self.size)
-        self.tokens = unpack_sets([r[0] for r in self.rows])
+        whole = zstandard.ZstdDecompressor()
+        sets = shingle_sets([whole.decompress(r[0]) for r in self.rows])
+        self.tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+
+    def set(self, i: int) -> np.ndarray:
+        return self.tokens[self.ends[i] - self.size[i] : self.ends[i]]
 
     def distinct(self, buckets: int):
         """Distinct shingles by bucket: their places, counts, the buckets' bounds and each shingle's number."""
@@ -145,7 +151,14 @@ def _frequencies(table: pa.Table) -> pa.Table:
     )
 
 
+def _need(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that a set of n and a linked one of at most n must share among their first."""
+    return np.minimum(SHARED, -(-percent * n // 100))
+
+
 def _groups(percent: int):
+    """Of posting lists: (m, h, n) of each class h in a large part named m, need 0; and (m, h) with both sizes, the counts and the counts that are needed of each pair in a small one."""
+
     def run(table: pa.Table) -> pa.Table:
         tok = np.frombuffer(b"".join(table.column("tok").to_pylist()), np.uint64)
         h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.int64)
@@ -155,13 +168,22 @@ def _groups(percent: int):
         cut = np.concatenate(([True], (tok[1:] != tok[:-1]) | (100 * n[:-1] < percent * n[1:])))
         starts = np.flatnonzero(cut)
         size = np.diff(np.append(starts, len(tok)))
-        least = np.repeat(np.minimum.reduceat(h, starts), size)
-        keep = np.repeat(size > 1, size)
-        m, h, n = least[keep], h[keep], n[keep]
-        o = np.lexsort((n, h, m))
-        m, h, n = m[o], h[o], n[o]
-        new = np.concatenate(([True], (m[1:] != m[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1]))) if len(m) else np.zeros(0, bool)
-        return pa.table([pa.array(x[new]) for x in (m, h, n)], names=["m", "h", "n"])
+        least, each = np.repeat(np.minimum.reduceat(h, starts), size), np.repeat(size, size)
+        keep = each > SMALL
+        zero = np.zeros(int(keep.sum()), np.int64)
+        rows = [np.stack((least[keep], h[keep], n[keep], zero, zero, zero))]
+        for gap in range(1, SMALL):  # in a part of SMALL, pairs are at most SMALL - 1 apart
+            i = np.flatnonzero(np.arange(len(tok)) + gap < np.repeat(starts + size, size)) if len(tok) else np.zeros(0, np.int64)
+            i = i[(each[i] <= SMALL) & (100 * n[i] >= percent * n[i + gap])] if len(i) else i
+            j = i + gap
+            flip = h[i] > h[j]
+            x, y = np.where(flip, j, i), np.where(flip, i, j)
+            rows.append(np.stack((h[x], h[y], n[y], n[x], _need(n[j], percent), np.ones(len(i), np.int64))))
+        r = np.concatenate(rows, axis=1)
+        r = r[:, np.lexsort(r[4::-1])]
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(r[:5], axis=1) != 0).any(axis=0)))) if r.shape[1] else np.zeros(0, np.int64)
+        count = np.add.reduceat(r[5], new) if len(new) else new
+        return pa.table([*(pa.array(c) for c in r[:5, new]), pa.array(count)], names=["m", "h", "n", "nm", "need", "cnt"])
 
     return run
 
@@ -353,7 +375,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         level = np.empty(len(tok), np.uint8)
         level[o] = np.frombuffer(b"".join(got), np.uint8)
         order = level[inv].astype(np.uint64) << U64(56) | b.tokens
-        prefix = b.size - -(-percent * b.size // 100) + 1
+        prefix = np.minimum(b.size - -(-percent * b.size // 100) + SHARED, b.size)
         once = np.add.reduceat(level[inv] == 1, b.ends - b.size, dtype=np.int64)
         toks, hs, ns = [], [], []
         for i in np.flatnonzero(once < prefix).tolist():
@@ -393,10 +415,10 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         return run
 
     def with_map(b: Block, i: int, groups: list[int]) -> tuple:
-        return (bitmap(b.tokens[b.ends[i] - b.size[i] : b.ends[i]], width_for(int(b.size[i]))).tobytes(),)
+        return (bitmap(b.set(i), width_for(int(b.size[i]))).tobytes(),)
 
     def with_set(b: Block, i: int, groups: list[int]) -> tuple:
-        return b.rows[i][1], b.rows[i][0], np.array(sorted(set(groups)), np.int64).tobytes()
+        return b.rows[i][1], pack_set(b.set(i)), np.array(sorted({*groups}), np.int64).tobytes()
 
     def tiled(named: DataFrame):
         large = named.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TILE).select(F.col("m").alias("lm"), F.ceil(F.col("c") / TILE).cast("long").alias("tiles"))
@@ -405,11 +427,16 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     counts = grouped.applyInArrow(count, "bucket long, block long, tok binary, cnt binary")
     levels = counts.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket long, level binary")
     posts = grouped.cogroup(levels.groupBy("block")).applyInArrow(post, "bucket long, tok binary, h binary, n binary")
-    named = posts.groupBy("bucket").applyInArrow(_groups(percent), "m long, h long, n long").distinct()
+    found = posts.groupBy("bucket").applyInArrow(_groups(percent), "m long, h long, n long, nm long, need long, cnt long")
+    found = found.groupBy("m", "h", "n", "nm", "need").agg(F.sum("cnt").alias("cnt")).where("cnt >= need")
+    both = F.when(F.col("need") > 0, F.array(F.struct("h", "n"), F.struct(F.col("m").alias("h"), F.col("nm").alias("n")))).otherwise(F.array(F.struct("h", "n")))
+    named = found.select("m", F.explode(both).alias("r")).select("m", "r.h", "r.n").distinct()
     task = F.pmod(F.xxhash64("m", "a", "b"), F.lit(4 * buckets)).alias("task")
     place = "m long, a long, b long, h long, n long, side long"
     maps = grouped.cogroup(tiled(named)).applyInArrow(deal([pa.binary()], ["map"], with_map), f"{place}, map binary")
     likely = maps.groupBy(task).applyInArrow(_sift(percent), "m long, h long, n long").distinct()
+    least = likely.join(likely.groupBy("h", "n").agg(F.min("m").alias("l")), ["h", "n"]).groupBy("m").agg(F.min("l").alias("l"))
+    likely = likely.join(least, "m").select(F.col("l").alias("m"), "h", "n").distinct()
     sets = grouped.cogroup(tiled(likely)).applyInArrow(deal([pa.int64(), pa.binary(), pa.binary()], ["cnt", "arr", "names"], with_set), f"{place}, cnt long, arr binary, names binary")
     return sets.groupBy(task).applyInArrow(_compare(percent), "h long, n long, links long, root long")
 
