@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, drop_shared, longs, map_batches, materialise, null_mask, parts_for, read, shared_dir, text_bytes
+from .common import doc_columns, longs, map_batches, materialise, null_mask, parts_for, read, shared_dir, text_bytes
 from .tokens import encoder, tokenizer_path
 
 MAGIC, VERSION = b"DACTOKEN", 1
