@@ -27,11 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, text_bytes, words_of
+from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, runs, text_bytes, words_of
 
 PERCENT = 60
 TILE = 2048
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Bytes of text for each block, each bucket of shingles, and each bucket of postings, which are far fewer than shingles.
+BLOCK_BYTES, BUCKET_BYTES, POST_BYTES = 4 << 20, 8 << 20, 64 << 20
 #: Edges up to which components are found on the driver; beyond, in Spark.
 DRIVER_EDGES = 200_000
 WIDTH = 7  # bytes of a shingle's hash
@@ -160,9 +161,9 @@ def _groups(percent: int):
     """Of posting lists: (m, h, n) of each class h in a large part named m, need 0; and (m, h) with both sizes, the counts and the counts that are needed of each pair in a small one."""
 
     def run(table: pa.Table) -> pa.Table:
-        tok = np.frombuffer(b"".join(table.column("tok").to_pylist()), np.uint64)
-        h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.int64)
-        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int64)
+        col = lambda k, t: np.frombuffer(b"".join(table.column(k).to_pylist()), t)
+        tok, times = col("tok", np.uint32), col("times", np.uint32)
+        h, n = np.repeat(col("h", np.int64), times), np.repeat(col("n", np.int64), times)
         o = np.lexsort((n, tok))
         tok, h, n = tok[o], h[o], n[o]
         cut = np.concatenate(([True], (tok[1:] != tok[:-1]) | (100 * n[:-1] < percent * n[1:])))
@@ -351,7 +352,7 @@ def _compare(percent: int):
 def _linked(docs: DataFrame, percent: int) -> DataFrame:
     """(h, n, links, root) of each class in each tile where it has links."""
     _, size = text_bytes(docs)
-    blocks, buckets = parts_for(size, BLOCK_BYTES), parts_for(size, BUCKET_BYTES)
+    blocks, buckets, heaps = (parts_for(size, x) for x in (BLOCK_BYTES, BUCKET_BYTES, POST_BYTES))
     block = lambda: F.pmod(F.col("h"), F.lit(blocks))
     grouped = _sets(docs).withColumn("block", block()).groupBy("block")
 
@@ -377,21 +378,23 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         order = level[inv].astype(np.uint64) << U64(56) | b.tokens
         prefix = np.minimum(b.size - -(-percent * b.size // 100) + SHARED, b.size)
         once = np.add.reduceat(level[inv] == 1, b.ends - b.size, dtype=np.int64)
-        toks, hs, ns = [], [], []
+        toks, owner = [], []
         for i in np.flatnonzero(once < prefix).tolist():
             first = np.sort(order[b.ends[i] - b.size[i] : b.ends[i]])[once[i] : prefix[i]]
             toks.append(first & U64((1 << 56) - 1))
-            hs.append(np.full(len(first), b.keys[i][0]))
-            ns.append(np.full(len(first), b.size[i]))
+            owner.append(np.full(len(first), i))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        t, h, n = cat(toks, np.uint64), cat(hs, np.int64), cat(ns, np.int64)
-        k = bucket_of(t, buckets)
-        s = np.argsort(k, kind="stable")
+        t, own = cat(toks, np.uint64), cat(owner, np.int64)
+        k = bucket_of(t, heaps)
+        s = np.argsort(k, kind="stable")  # classes stay together within a bucket
         bucket, bounds = cuts_by(k[s])
-        cols = [pa.array(bucket)]
-        for v in (t[s], h[s], n[s]):
-            cols.append(pa.array([v[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary()))
-        return pa.table(cols, names=["bucket", "tok", "h", "n"])
+        # unlike shingles whose 32 bits agree in a bucket only bring a class more to compare
+        t, own = (t[s] >> U64(24)).astype(np.uint32), own[s]
+        hash_of, rows = np.array([k[0] for k in b.keys], np.int64), []
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            c, times = runs(own[i:j])
+            rows.append((t[i:j].tobytes(), hash_of[c].tobytes(), b.size[c].tobytes(), times.tobytes()))
+        return pa.table([pa.array(bucket), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(4))], names=["bucket", "tok", "h", "n", "times"])
 
     def deal(kinds: list, names: list[str], more):
         """Sends each wanted class to the tiles of its group: all pairs of parts that hold its own."""
@@ -426,7 +429,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
 
     counts = grouped.applyInArrow(count, "bucket long, block long, tok binary, cnt binary")
     levels = counts.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket long, level binary")
-    posts = grouped.cogroup(levels.groupBy("block")).applyInArrow(post, "bucket long, tok binary, h binary, n binary")
+    posts = grouped.cogroup(levels.groupBy("block")).applyInArrow(post, "bucket long, tok binary, h binary, n binary, times binary")
     found = posts.groupBy("bucket").applyInArrow(_groups(percent), "m long, h long, n long, nm long, need long, cnt long")
     found = found.groupBy("m", "h", "n", "nm", "need").agg(F.sum("cnt").alias("cnt")).where("cnt >= need")
     both = F.when(F.col("need") > 0, F.array(F.struct("h", "n"), F.struct(F.col("m").alias("h"), F.col("nm").alias("n")))).otherwise(F.array(F.struct("h", "n")))

@@ -49,7 +49,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed,tile,block,edges", [(1, 7, 900, 10**6), (2, 2048, 4 << 20, 10**6), (3, 5, 300, 3)])
 def test_matches_brute_force(spark, monkeypatch, seed, tile, block, edges):
-    for k, v in (("TILE", tile), ("BLOCK_BYTES", block), ("BUCKET_BYTES", 2 * block)):
+    for k, v in (("TILE", tile), ("BLOCK_BYTES", block), ("BUCKET_BYTES", 2 * block), ("POST_BYTES", 5 * block)):
         monkeypatch.setattr(nj, k, v)
     rows = corpus(seed)
     d = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, h string, n int")
