@@ -25,6 +25,7 @@ MAGIC, VERSION = b"DACTOKEN", 1
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: Bytes of text that go to one file.
 FILE_TEXT_BYTES = 12 << 20
+SAMPLED = 32
 SUPER = 8  # words of the bitmap under one entry of the rank directory
 
 
@@ -95,12 +96,13 @@ def file_bytes(doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids:
     return [struct.pack("<8sIQQI", MAGIC, VERSION, len(docs), len(ids), len(levels) // 4), docs.tobytes(), *levels]
 
 
-def _bounds(docs: DataFrame, files: int) -> np.ndarray:
-    """files - 1 cuts of the doc_ids, from the ids' column alone."""
+def _bounds(ids: DataFrame, files: int, rows: int) -> np.ndarray:
+    """At most files - 1 cuts of the doc_ids, from about SAMPLED of them a file, chosen by their hash."""
     if files < 2:
         return np.zeros(0, np.int64)
-    q = docs.where("doc_id is not null").approxQuantile("doc_id", [k / files for k in range(1, files)], 1 / (8 * files))
-    return np.unique(np.array(q, np.float64).astype(np.int64)) if q else np.zeros(0, np.int64)
+    some = ids.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // (SAMPLED * files)))) == 0))
+    got = np.sort(some.toArrow().column("doc_id").to_numpy())
+    return np.unique(got[np.arange(1, files) * len(got) // files]) if len(got) else np.zeros(0, np.int64)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, mode: str = "drop", end_id: int = END_ID, file_text_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
@@ -111,7 +113,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, mode: str = "d
     """
     d = doc_columns(docs)
     rows, size = text_bytes(d)
-    cuts = _bounds(d.select("doc_id"), parts_for(size, file_text_bytes))
+    cuts = _bounds(d.select("doc_id"), parts_for(size, file_text_bytes), rows)
 
     def tokenize():
         enc = encoder(tokenizer, mode)
