@@ -51,15 +51,16 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow with a function that is made once a task."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, rows: int = 2048) -> DataFrame:
+    """mapInArrow with a function that is made once a task and gets at most so many rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
         for b in batches:
             if b.num_rows:
                 f = f or make()
-                yield from f(b)
+                for i in range(0, b.num_rows, rows):
+                    yield from f(b.slice(i, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -97,7 +97,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         cols = [[h for h, _ in found], [n for _, n in found], [small.compress(x[0]) for x in found.values()], [x[1] for x in found.values()], [x[2] for x in found.values()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["h", "n", "text", "cnt", "mn"])
 
-    return map_batches(docs, lambda: run, _SETS)
+    return map_batches(docs, lambda: run, _SETS, rows=10_000)
 
 
 class Block:

@@ -279,10 +279,12 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 0, e
     odds = lambda fs: [log_odds(sum(seen[f, True][k] for f in fs), sum(seen[f, False][k] for f in fs), sum(size[f, True] for f in fs), sum(size[f, False] for f in fs)) for k in (0, 1)]
     parts = []
     for f in (0, 1):
-        own = np.flatnonzero(fold == f)
-        w = Words.of([texts[i] for i in own])
-        ids, first = window_ids(w)
-        parts.append((own, features(w, *odds([1 - f])), ids, first))
+        tables, mine = odds([1 - f]), r.permutation(np.flatnonzero(fold == f))
+        for k in range(0, len(mine), 256):  # few texts at once, for memory
+            own = mine[k : k + 256]
+            w = Words.of([texts[i] for i in own])
+            ids, first = window_ids(w)
+            parts.append((own, features(w, *tables), ids.astype(np.int32), first))
     net, state = Network(seed), {}
     logit = [(x[ids, 0] + x[ids, 2:6].sum(axis=2)).max(axis=1) for _, x, ids, _ in parts]
     for epoch in range(epochs):
@@ -293,7 +295,7 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 0, e
                 picks.append((f, a + int(logit[f][a:b].argmax()), y[i]))
                 if not y[i]:
                     picks.append((f, int(r.integers(a, b)), False))
-        for f in (0, 1):
+        for f in r.permutation(len(parts)).tolist():
             mine = [q for q in picks if q[0] == f]
             order = r.permutation(len(mine))
             for k in range(0, len(order), batch):
