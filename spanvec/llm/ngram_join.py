@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, runs, text_bytes, words_of
+from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, give_back, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, runs, text_bytes, words_of
 
 PERCENT = 60
 TILE = 2048
@@ -104,6 +104,7 @@ class Block:
     """A block's classes in order of (h, n), and their shingles."""
 
     def __init__(self, table: pa.Table):
+        give_back()
         t = {k: table.column(k).to_pylist() for k in ("h", "n", "text", "cnt", "mn")}
         found: dict[tuple[int, int], list] = {}
         for h, n, text, cnt, mn in zip(*t.values()):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_TAB, U64, binaries, bucket_of, chunks, cuts_by, longs, mix, null_mask, packed, parts_for, powers, read, runs, text_bytes, unpacked
+from .common import BYTE_TAB, U64, binaries, bucket_of, chunks, cuts_by, give_back, longs, mix, null_mask, packed, parts_for, powers, read, runs, text_bytes, unpacked
 
 LENGTH, SEED = 50, 24
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
@@ -46,6 +46,7 @@ class Block:
     """A block's rows in an order that doesn't depend on the shuffle, with their segments."""
 
     def __init__(self, table: pa.Table, length: int, seed: int):
+        give_back()
         ids, null = longs(table.column("doc_id").combine_chunks()), null_mask(table.column("doc_id").combine_chunks())
         texts = binaries(table.column("text").combine_chunks())
         self.order = sorted(range(len(texts)), key=lambda i: (null[i], ids[i], texts[i]))

@@ -10,7 +10,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Parts in each of a worker's two generations: when the young one is full it becomes the old one, whose parts in use come back.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 250_000
 #: White space besides the space and the line feed, and NUL, which marks cuts.
 _RARE = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
