@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -80,20 +83,30 @@ class Scanner:
         return len(w), base, [m for i, at in seeds.items() for m in self.verify(u, i, sorted(at))], s
 
     def verify(self, u: str, i: int, at: list[int]) -> list[tuple[int, int, str, int, float]]:
+        """Matches apart from each other: the one of fewest edits first, then the first, then what stands before and behind those taken."""
         notice, label = self.notices[i]
-        k, n, found, done = self.k[i], len(notice), [], -1
-        j = 0
-        while j < len(at):
-            lo, hi = at[j] - k, at[j] + n + k
-            while j + 1 < len(at) and at[j + 1] - k <= hi:  # candidates that touch are one region
-                j += 1
-                hi = at[j] + n + k
-            j += 1
-            for m in self.patterns[i].finditer(u, max(lo, 0, done), min(hi, len(u))):
-                e = sum(m.fuzzy_counts)
-                found.append((m.start(), m.end(), label, e, 1 - e / n))
-                done = m.end()
-        return found
+        k, n = self.k[i], len(notice)
+        heap: list[tuple[int, int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+        found: list[tuple[int, int, str, int, float]] = []
+
+        def search(lo: int, hi: int) -> None:
+            if hi - lo >= n - k and (m := self.patterns[i].search(u, lo, hi)):
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi))
+
+        for a in dict.fromkeys(at):  # a match holds a seed, so it lies in that seed's window
+            search(max(a - k, 0), min(a + n + k, len(u)))
+        while heap:
+            e, a, b, lo, hi = heapq.heappop(heap)
+            x = bisect.bisect_left(taken, (lo, lo))
+            near = [t for t in taken[max(x - 1, 0) : bisect.bisect_left(taken, (hi, hi))] if t[1] > lo]
+            if all(b <= c or d <= a for c, d in near):
+                bisect.insort(taken, (a, b))
+                found.append((a, b, label, e, 1 - e / n))
+            else:
+                for c, d in zip([lo, *(t[1] for t in near)], [*(t[0] for t in near), hi]):
+                    search(c, d)
+        return sorted(found)
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT, spans: bool = False) -> DataFrame:

@@ -99,6 +99,35 @@ def test_seeds_lose_no_edited_notice(data):
     assert regex.search("foo", text)
 
 
+def apart(pattern, text, lo, hi):
+    """Of the whole range the best match, then those before and behind it."""
+    m = pattern.search(text, lo, hi)
+    return [*apart(pattern, text, lo, m.start()), (m.start(), m.end(), sum(m.fuzzy_counts)), *apart(pattern, text, m.end(), hi)] if m else []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_notices_side_by_side_are_brute_force(data):
+    scanner = lc.Scanner()
+    i = data.draw(st.integers(0, len(scanner.notices) - 1))
+    text = ""
+    for _ in range(data.draw(st.integers(1, 6))):
+        n = list(scanner.notices[i][0])
+        for _ in range(data.draw(st.integers(0, scanner.k[i] + 1))):
+            p = data.draw(st.integers(0, len(n) - 1))
+            kind = data.draw(st.sampled_from("sid"))
+            n[p : p + (kind != "i")] = [] if kind == "d" else [data.draw(st.sampled_from("abcxyz "))]
+        text += "".join(n) + data.draw(st.sampled_from(["", " ", " by acme "]))
+    norm = " " + " ".join(words(text)) + " "
+    one = lc.Scanner(phrases=(("foo", "foo"),), notices=(scanner.notices[i],))
+    assert [(a, b, e) for a, b, _, e, _ in one.scan(text.encode())[2]] == apart(one.patterns[0], norm, 0, len(norm))
+
+
+def test_no_notice_is_lost_before_a_better_one():
+    found = lc.Scanner().scan(("all right reserved " * 10 + "all rights reserved").encode())[2]
+    assert [e for *_, e, _ in found] == [1] * 10 + [0]
+
+
 @pytest.mark.parametrize("name,mode", [(tf.TOKENIZER, "drop"), (pk.TOKENIZER, "space")])
 def test_cached_parts_give_the_ids_of_whole_texts(name, mode):
     path = public_tokenizers.path(name)
