@@ -135,6 +135,15 @@ class Pack:
             found = one if found is None else found.unionByName(one)
         return search.ranked(found, k, ["qid"])
 
+    def recall(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """probe, recall: the share of the exact best that hits() finds by the number of lists probed in each shard. search.least_probe() chooses from it."""
+        probes = None
+        for s in self.manifest["shards"]:
+            n = s["shard"]
+            one = search.coarse(queries, self.centroids.where(F.col("shard") == n).select("list_id", "c"), search.MAX_PROBE).select("qid", "list_id", "prn", F.lit(n).cast("long").alias("shard"))
+            probes = one if probes is None else probes.unionByName(one)
+        return search.probe_recall(search.exact_topk(self.vectors, queries, search.check_k(k)), self.vectors, probes)
+
     def search(self, texts: DataFrame, k: int = 10, probe: int | None = 8) -> DataFrame:
         """Hits of (qid, text) or (qid, vector) with their metadata."""
         return search.with_meta(self.hits(self.queries(texts), k, probe), self.meta, ("id",))

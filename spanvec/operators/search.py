@@ -168,6 +168,20 @@ def ivf_topk(vectors: DataFrame, centroids: DataFrame, queries: DataFrame, k: in
     return ranked(fine(first_of_lists(vectors, max_scan), coarse(queries, centroids, probe), k), k, ["qid"])
 
 
+def probe_recall(hits: DataFrame, vectors: DataFrame, probes: DataFrame) -> DataFrame:
+    """probe, recall: the share of hits - each query's exact best - that the probe nearest lists hold, for each number of lists in probes. probes is coarse() of all lists; it has a shard where each shard has lists of its own."""
+    keys = [c for c in ("shard", "list_id") if c in probes.columns]
+    at = hits.select("qid", "shard", "id").join(vectors.select("shard", "id", "list_id"), ["shard", "id"]).join(probes.select("qid", *keys, "prn"), ["qid", *keys])
+    n = probes.select("prn").distinct().join(at.groupBy("prn").agg(F.count(F.lit(1)).alias("n")), "prn", "left").crossJoin(hits.agg(F.count(F.lit(1)).alias("total")))
+    so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("prn").rowsBetween(Window.unboundedPreceding, 0))
+    return n.select(F.col("prn").cast("long").alias("probe"), (so_far / F.col("total")).alias("recall"))
+
+
+def least_probe(recalls: DataFrame, least: float = 0.9) -> int | None:
+    """The fewest lists of that recall; None if no number of lists in recalls has it, and everything is to be read."""
+    return recalls.where(F.col("recall") >= least).agg(F.min("probe")).first()[0]
+
+
 def scan_counts(vectors: DataFrame, probes: DataFrame, max_scan: int = 0) -> DataFrame:
     """qid, scanned: vectors read for each query, over all shards."""
     n = vectors.groupBy("shard", "list_id").agg(F.count(F.lit(1)).alias("n"))

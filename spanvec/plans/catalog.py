@@ -161,6 +161,25 @@ def ivf_all_lists(spark, sf):
     return _hits(_ivf(spark, sf, N_LISTS))
 
 
+_RECALL = f"""{d.probed(1000)}, at_list AS (SELECT prn FROM exact JOIN v USING (id) JOIN p ON p.qid = exact.qid AND p.list_id = v.list_id),
+r AS MATERIALIZED (SELECT probe, (SELECT count(*) FROM at_list WHERE prn <= probe) / (SELECT count(*) FROM exact) AS recall FROM (SELECT DISTINCT prn AS probe FROM p))"""
+
+
+def _recall(spark, sf):
+    v, q = d.vectors(spark, sf), d.queries(spark, sf)
+    return search.probe_recall(search.exact_topk(v, q, d.K), v, search.coarse(q, build.centroids_of(v), search.MAX_PROBE))
+
+
+@_add("probe_recall", f"WITH {d.V}, {d.C}, {d.exact()}, {_RECALL} SELECT probe, round(recall, 6) AS recall FROM r")
+def probe_recall(spark, sf):
+    return _round(_recall(spark, sf), "recall")
+
+
+@_add("ivf_topk_recall90", f"WITH {d.V}, {d.C}, {d.exact()}, {_RECALL}, few AS (SELECT min(probe) AS few FROM r WHERE recall >= 0.9) {_HITS} (SELECT qid, id, shard, list_inner_product(q, v) AS score, row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(q, v) DESC, shard, id) AS rn FROM p JOIN v USING (list_id), few WHERE prn <= few) WHERE rn <= {d.K}")
+def ivf_topk_recall90(spark, sf):
+    return _hits(_ivf(spark, sf, search.least_probe(_recall(spark, sf), 0.9)))
+
+
 @_add("max_scan", f"WITH {d.V}, {d.C}, {d.ivf(3, scan=4)} {_HITS} ivf")
 def max_scan(spark, sf):
     return _hits(_ivf(spark, sf, 3, scan=4))

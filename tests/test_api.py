@@ -5,7 +5,7 @@ import pytest
 
 from spanvec import api
 from spanvec.__main__ import main
-from spanvec.operators import verify
+from spanvec.operators import search, verify
 from spanvec.sources import packfile
 
 
@@ -54,6 +54,19 @@ def test_shards_agree_with_one(spark, tmp_path):
     assert ids(a, None) == ids(b, None) == ids(b, 4) == ids(a, 1)
 
 
+def test_recall_is_that_of_the_hits(spark, tmp_path):
+    many = rows(spark, *((i, f"text {i}") for i in range(400)))
+    api.build_pack(many, f"{tmp_path}/p", lists=4, shard_size=250)
+    p = api.open_pack(spark, f"{tmp_path}/p")
+    q = p.queries(many.where("id % 20 = 0").selectExpr("id AS qid", "text")).cache()
+    ids = lambda probe: {(r.qid, r.id) for r in p.hits(q, 5, probe).collect()}
+    want = ids(None)
+    got = {r.probe: r.recall for r in p.recall(q, 5).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[4] == 1 and got[1] < 1
+    assert all(abs(got[n] - len(ids(n) & want) / len(want)) < 1e-9 for n in (1, 2, 3))
+    assert search.least_probe(p.recall(q, 5), 0.9) == min(n for n in got if got[n] >= 0.9)
+
+
 def test_versions_on_disk(spark, tmp_path):
     s, t = f"{tmp_path}/set", str(tmp_path)
     api.build_packset_base(rows(spark, (0, "hello v0"), (1, "paris is france"), (2, "delete me")), s, lists=2)

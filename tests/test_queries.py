@@ -36,6 +36,12 @@ def test_equals_its_sql(spark, duck, name):
     assert len(got)
 
 
+def test_an_index_query_has_its_recall(spark):
+    hits = lambda name: {(r.qid, r.id) for r in catalog.queries()[name](spark, SF).collect()}
+    exact = hits("exact_topk")
+    assert len(hits("ivf_topk_recall90") & exact) >= 0.9 * len(exact)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
