@@ -50,7 +50,7 @@ class Scanner:
     """One automaton over delimited phrases and seeds; a compiled bounded-error pattern for each notice."""
 
     def __init__(self, phrases=PHRASES, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
-        # regex finds edits in code points; texts are scanned as Latin-1 views of their UTF-8
+        # edits are of code points, so texts are scanned decoded
         self.phrases, self.notices = phrases, notices
         self.k = [edits(n, chars_per_edit) for n, _ in notices]
         self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={k}}}") for (n, _), k in zip(notices, self.k)]
@@ -65,11 +65,10 @@ class Scanner:
             self.a.add_word(w, v)
         self.a.make_automaton()
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int, float]], bytes]:
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int, float]], str]:
         """Number of words, phrase places (word, label), notice matches (start, stop in the normalised text, label, edits, score), that text."""
         w = text.translate(ALNUM).split()
-        s = b" " + b" ".join(w) + b" "
-        u = s.decode("latin-1")
+        u = (b" " + b" ".join(w) + b" ").decode("utf-8", "surrogateescape")
         base, seeds = [], {}
         for end, values in self.a.iter(u) if w else ():
             for whole, i, n in values:
@@ -78,9 +77,9 @@ class Scanner:
                 else:
                     seeds.setdefault(i, []).append(end + 1 - n)
         if base:
-            spaces = np.flatnonzero(np.frombuffer(s, np.uint8) == 32)
+            spaces = np.flatnonzero(np.frombuffer(u.encode("latin-1"), np.uint8) == 32 if u.isascii() else np.frombuffer(u.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
             base = [(int(x), lab) for x, (_, lab) in zip(np.searchsorted(spaces, [p for p, _ in base]), base)]
-        return len(w), base, [m for i, at in seeds.items() for m in self.verify(u, i, sorted(at))], s
+        return len(w), base, [m for i, at in seeds.items() for m in self.verify(u, i, sorted(at))], u
 
     def verify(self, u: str, i: int, at: list[int]) -> list[tuple[int, int, str, int, float]]:
         """Matches apart from each other: the one of fewest edits first, then the first, then what stands before and behind those taken."""
@@ -128,13 +127,13 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, chars_per_e
         def run(batch: pa.RecordBatch):
             rows, where = [], []
             for t in binaries(batch.column("text")):
-                n, base, fuzzy, s = scanner.scan(t)
+                n, base, fuzzy, u = scanner.scan(t)
                 at = [p for p, _ in base]
                 own = sorted({x for _, x in base})
                 both = sorted({*own, *(x[2] for x in fuzzy)})
                 rows.append((n, len(base), min(at, default=None), max(at, default=None), ",".join(own), ",".join(both), 1.0 if base else max((x[4] for x in fuzzy), default=0.0), len(fuzzy)))
                 if spans:
-                    where.append([{"start_word": s.count(b" ", 0, a + 1) - 1, "stop_word": s.count(b" ", 0, max(a, b - 1)), "label": lab, "edits": e, "score": sc} for a, b, lab, e, sc in fuzzy])
+                    where.append([{"start_word": u.count(" ", 0, a + 1) - 1, "stop_word": u.count(" ", 0, max(a, b - 1)), "label": lab, "edits": e, "score": sc} for a, b, lab, e, sc in fuzzy])
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(), pa.int64()))]
             names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_fuzzy"]
             if spans:

@@ -123,6 +123,17 @@ def test_notices_side_by_side_are_brute_force(data):
     assert [(a, b, e) for a, b, _, e, _ in one.scan(text.encode())[2]] == apart(one.patterns[0], norm, 0, len(norm))
 
 
+def test_an_edit_is_of_a_character(spark):
+    texts = ["Über 日本: all rights resérved", "x é released under the “mit” license 😀 all rights re😀served, Apache License", "é all r\u0301íghts reserved"]
+    rows = lc.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spans=True).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["reserved", "apache,mit,reserved", ""]
+    assert [(r.first_word, r.n_base) for r in rows] == [(None, 0), (11, 1), (None, 0)]
+    spans = [sorted((s.label, " ".join(words(t)[s.start_word : s.stop_word]), s.edits) for s in r.spans) for r, t in zip(rows, texts)]
+    assert spans[0] == [("reserved", "all rights resérved", 1)]
+    assert spans[1] == [("mit", "released under the “mit” license", 2), ("reserved", "all rights re😀served", 1)]
+    assert lc.Scanner().scan(b"\xff\xe9 all rights res\xe9rved")[2][0][2:4] == ("reserved", 1)
+
+
 def test_no_notice_is_lost_before_a_better_one():
     found = lc.Scanner().scan(("all right reserved " * 10 + "all rights reserved").encode())[2]
     assert [e for *_, e, _ in found] == [1] * 10 + [0]
