@@ -28,16 +28,16 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where(f"id % {EVERY} = 0").select(F.col("id").alias("qid"), F.col("u").alias("q"))
 
 
-def tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Base and two deltas whose vectors are borrowed from later ids, and tombstones."""
+def tiers(spark: SparkSession, sf_dir: str, base: str = "id % 10 < 7") -> tuple[DataFrame, DataFrame]:
+    """Base and two deltas whose vectors are borrowed from later ids, and tombstones. base: which vectors it holds."""
     v = vectors(spark, sf_dir)
-    base = v.where("id % 10 < 7").select(F.lit(0).cast("long").alias("seq"), "shard", "id", "v")
+    rows = v.where(base).select(F.lit(0).cast("long").alias("seq"), "shard", "id", "v")
 
     def delta(seq: int, where: str, shift: int) -> DataFrame:
         ids = v.where(where).select("id", "shard")
         return ids.join(v.select((F.col("id") - shift).alias("id"), "v"), "id").select(F.lit(seq).cast("long").alias("seq"), "shard", "id", "v")
 
-    return base.unionByName(delta(1, "id % 100 = 6 or id % 250 = 5", 1)).unionByName(delta(2, "id % 100 = 6", 2)), v.where("id % 17 = 0").select("id")
+    return rows.unionByName(delta(1, "id % 100 = 6 or id % 250 = 5", 1)).unionByName(delta(2, "id % 100 = 6", 2)), v.where("id % 17 = 0").select("id")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,8 @@ T = """t AS MATERIALIZED (SELECT 0::BIGINT AS seq, shard, id, v FROM v WHERE id
   UNION ALL SELECT 1, a.shard, a.id, b.v FROM v a JOIN v b ON b.id = a.id + 1 WHERE a.id % 100 = 6 OR a.id % 250 = 5
   UNION ALL SELECT 2, a.shard, a.id, b.v FROM v a JOIN v b ON b.id = a.id + 2 WHERE a.id % 100 = 6),
 dead AS (SELECT id FROM v WHERE id % 17 = 0)"""
+#: The same with a base of all vectors.
+T_ALL = T.replace(" WHERE id % 10 < 7", "")
 
 
 def exact(k: int = K, name: str = "exact") -> str:

@@ -36,6 +36,16 @@ def test_equals_its_sql(spark, duck, name):
     assert len(got)
 
 
+def test_versions_hold_every_vector_and_the_join_every_document(spark):
+    q = catalog.queries()
+    ids = lambda name: {r.id for r in q[name](spark, SF).collect()}
+    every = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    live = {i for i in every if i % 17}
+    assert ids("rebase_all") == live > ids("rebase") and ids("tombstone_filter_all") == live
+    docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert all((r.n_chars is not None) == (r.id in docs) for r in q["meta_left_join_all"](spark, SF).collect())
+
+
 def test_an_index_query_has_its_recall(spark):
     hits = lambda name: {(r.qid, r.id) for r in catalog.queries()[name](spark, SF).collect()}
     exact = hits("exact_topk")
