@@ -212,3 +212,13 @@ def test_words_given_to_the_model(name, mode):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
 
     same()
+
+
+def test_a_bucket_holds_one_length(spark, docs, tmp_path):
+    packed = pk.pack(docs, pk.tokenizer_path(pk.TOKENIZER)).cache()
+    pk.write_buckets(packed, f"{tmp_path}/b")
+    lengths = {r.length for r in packed.select("length").collect()}
+    assert len(lengths) > 2 and {p.name for p in (tmp_path / "b").glob("length=*")} == {f"length={n}" for n in lengths}
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/b").select("doc_id", "start", "ids_crc32").collect())) == sorted(map(str, packed.select("doc_id", "start", "ids_crc32").collect()))
+    for n in lengths:
+        assert spark.read.parquet(f"{tmp_path}/b/length={n}").count() == packed.where(packed["length"] == n).count()
