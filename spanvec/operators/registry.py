@@ -18,9 +18,14 @@ def empty(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def insert(table: DataFrame, rows: DataFrame, unique: list[str]) -> DataFrame:
-    """table with rows; a row whose unique columns are there already is an error when it is read."""
-    clash = rows.join(table.select(*unique, F.lit(True).alias("__there")), unique, "left")
-    checked = clash.withColumn("__ok", F.when(F.col("__there"), F.raise_error(F.lit("409: it exists")).cast("boolean")).otherwise(True)).where("__ok")
+    """table with rows; a row whose unique columns are in the table or in another row is an error when it is read. As in a database, nulls differ from each other."""
+    known = [F.col(c).isNotNull() for c in unique]
+    seen = rows.select(*unique, F.lit(0).alias("__old"), F.lit(1).alias("__new")).union(table.select(*unique, F.lit(1), F.lit(0)))
+    for k in known:
+        seen = seen.where(k)
+    clash = seen.groupBy(*unique).agg(F.sum("__old").alias("__old"), F.sum("__new").alias("__new")).where("__new > 1 or (__new > 0 and __old > 0)")
+    marked = rows.join(clash.select(*unique, F.lit(True).alias("__there")), unique, "left")
+    checked = marked.withColumn("__ok", F.when(F.col("__there"), F.raise_error(F.lit("409: it exists")).cast("boolean")).otherwise(True)).where("__ok")
     return table.unionByName(checked.select(*table.columns))
 
 

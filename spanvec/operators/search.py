@@ -1,7 +1,8 @@
 """Batch search: queries in blocks against all vectors, exactly or by the nearest lists.
 
-Arrow batches are scored by one matrix product and only each query's best leave the task, so the shuffle carries
-k rows a query and batch whatever the number of vectors.
+Arrow batches are scored by one matrix product and a task keeps only each query's best, so the shuffle carries k rows
+a query and task whatever the number of vectors. Queries, and the lists they probe, go to the tasks as one broadcast
+up to QUERY_BYTES, a size that is checked; beyond, vectors and queries meet in tiles by a shuffle. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -13,13 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in one broadcast block.
-QUERY_BLOCK = 4096
+from ..sources.storage import materialise
+
+#: Bytes of queries - vectors, and their probes - that may be broadcast.
+QUERY_BYTES = 64 << 20
 #: Bytes of centroids that may be broadcast.
 CENTROID_BYTES = 256 << 20
-#: Rows of one list in one task.
-LIST_ROWS = 200_000
-MAX_K, MAX_PROBE = 256, 4096
+#: Rows of one tile's vectors, and of its queries.
+TILE_ROWS, TILE_QUERIES = 200_000, 20_000
+#: Numbers in one matrix of scores, and rows that a task holds before it drops what is not among the best.
+SCORES, HELD = 4 << 20, 1 << 20
+#: Lists up to which the scan's filter names each of them; more are a broadcast join.
+NAMED_LISTS = 1000
 
 
 def matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -45,127 +51,254 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return r, c
 
 
+class _Held:
+    """Of rows (keys..., ties..., score) the k best for equal keys: the greatest scores, then the least ties."""
+
+    def __init__(self, k: int, names: list[str], keys: int):
+        self.k, self.names, self.keys = k, names, keys
+        self.parts: list[tuple] = []
+        self.rows = self.limit = 0
+
+    def add(self, *cols: np.ndarray) -> None:
+        self.parts.append(cols)
+        self.rows += len(cols[0])
+        if self.rows > max(HELD, self.limit):
+            self.prune()
+
+    def prune(self) -> None:
+        cols = [np.concatenate(c) for c in zip(*self.parts)]
+        o = np.lexsort((*cols[self.keys : -1][::-1], -cols[-1], *cols[: self.keys][::-1]))
+        cols = [c[o] for c in cols]
+        new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols[: self.keys]], axis=0)))
+        at = np.arange(len(o))
+        keep = at - np.maximum.accumulate(np.where(new, at, 0)) < self.k
+        self.parts = [tuple(c[keep] for c in cols)]
+        self.rows = int(keep.sum())
+        self.limit = 2 * self.rows
+
+    def table(self) -> pa.Table:
+        if len(self.parts) > 1:
+            self.prune()
+        cols = self.parts[0] if self.parts else [np.zeros(0, np.int64)] * (len(self.names) - 1) + [np.zeros(0)]
+        return pa.table([pa.array(c) for c in cols], names=self.names)
+
+    def score(self, qid: np.ndarray, q: np.ndarray, keys: list[np.ndarray], ties: list[np.ndarray], v: np.ndarray) -> None:
+        """All queries against vectors of one group."""
+        if not len(v) or not len(q):
+            return
+        order = ties[-1] if len(ties) == 1 else np.argsort(np.lexsort(ties[::-1]))
+        step = max(1, SCORES // len(v))
+        for i in range(0, len(q), step):
+            s = q[i : i + step] @ v.T
+            r, c = _best(s, order, self.k)
+            self.add(qid[i : i + step][r], *(x[c] for x in keys), *(x[c] for x in ties), s[r, c])
+
+
+def _groups(cols: list[np.ndarray], n: int) -> Iterator[np.ndarray]:
+    """Rows of equal cols."""
+    if not cols:
+        yield np.arange(n)
+        return
+    o = np.lexsort(cols[::-1])
+    cut = np.flatnonzero(np.concatenate(([True], np.any([c[o][1:] != c[o][:-1] for c in cols], axis=0), [True]))) if n else [0]
+    for i, j in zip(cut[:-1], cut[1:]):
+        yield o[i:j]
+
+
 def ranked(hits: DataFrame, k: int, by: list[str], order: list[Column] | None = None) -> DataFrame:
     """hits with rank rn <= k within by, in a total order."""
     w = Window.partitionBy(*by).orderBy(*(order or [F.desc("score"), F.asc("shard"), F.asc("id")]))
     return hits.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= k)
 
 
-def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list:
-    """(qid, q) in broadcasts of at most block rows. The driver holds the stated query set, not the vectors."""
-    spark, out, ids, rows = queries.sparkSession, [], [], []
+class Held:
+    """A table of keys and vectors that is computed once; .arrays has both where their size, which is checked, is at most limit bytes."""
+
+    def __init__(self, df: DataFrame, keys: list[str], vector: str, limit: int):
+        self.df = materialise(df.select(*(F.col(c).cast("long").alias(c) for c in keys), F.col(vector).cast("array<double>").alias(vector)), "vectors")
+        self.rows, self.dim = self.df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
+        self.arrays = None
+        if self.rows * (self.dim + len(keys)) * 8 <= limit:
+            t = self.df.orderBy(*keys).toArrow()
+            self.arrays = (*(t.column(c).to_numpy() for c in keys), matrix(t.column(vector)).reshape(self.rows, self.dim))
+
+
+def asked(queries: DataFrame | Held) -> Held:
+    return queries if isinstance(queries, Held) else Held(queries, ["qid"], "q", QUERY_BYTES)
 
-    def ship() -> None:
-        out.append(spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(rows, np.float64))))
 
-    for r in queries.select("qid", "q").orderBy("qid").toLocalIterator():
-        ids.append(r.qid)
-        rows.append(r.q)
-        if len(ids) == block:
-            ship()
-            ids, rows = [], []
-    if ids:
-        ship()
-    return out
+def _tiles(rows: int, each: int) -> int:
+    return max(1, -(-rows // each))
 
 
-def scan_topk(vectors: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ("shard",), block: int = QUERY_BLOCK) -> DataFrame:
-    """The k best of each group of by and query, by dot product, of vectors (by..., id, v) and queries (qid, q)."""
-    keys = list(by)
-    schema = "qid long, " + "".join(f"{c} long, " for c in keys) + "id long, score double"
-    parts = []
-    for b in query_blocks(queries, block):
+def scan_topk(vectors: DataFrame, queries: DataFrame | Held, k: int, by: tuple[str, ...] = ("shard",), ties: tuple[str, ...] = ()) -> DataFrame:
+    """The k best of each group of by and query, by dot product, of vectors (by..., ties..., id, v) and queries (qid, q); equal scores go by ties and id. Vectors are read once."""
+    q, keys, more = asked(queries), list(by), [*ties, "id"]
+    names = ["qid", *keys, *more, "score"]
+    schema = ", ".join(f"{c} long" for c in names[:-1]) + ", score double"
+    found = vectors.select(*(F.col(c).cast("long").alias(c) for c in [*keys, *more]), "v")
 
-        def run(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
-            qid, q = b.value
+    def scored(held: _Held, table, qid: np.ndarray, qs: np.ndarray) -> None:
+        col = {c: table.column(c).to_numpy() for c in [*keys, *more]}
+        v = matrix(table.column("v"))
+        for at in _groups([col[c] for c in keys], len(v)):
+            held.score(qid, qs, [col[c][at] for c in keys], [col[c][at] for c in more], v[at])
+
+    if q.arrays is not None:
+        b = vectors.sparkSession.sparkContext.broadcast(q.arrays)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Held(k, names, 1 + len(keys))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v, ids = matrix(batch.column("v")), batch.column("id").to_numpy()
-                cols = [batch.column(c).to_numpy() for c in keys]
-                group = np.unique(np.stack(cols), axis=1, return_inverse=True)[1].ravel() if cols else np.zeros(len(ids), int)
-                for g in range(group.max() + 1):
-                    at = np.flatnonzero(group == g)
-                    s = q @ v[at].T
-                    r, c = _best(s, ids[at], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), *(pa.array(x[at][c]) for x in cols), pa.array(ids[at][c]), pa.array(s[r, c])], ["qid", *keys, "id", "score"])
-
-        parts.append(vectors.select(*(F.col(c).cast("long").alias(c) for c in keys), F.col("id").cast("long").alias("id"), "v").mapInArrow(run, schema))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    order = [F.desc("score"), F.asc("id")]
-    return ranked(out, k, ["qid", *keys], order).drop("rn")
-
-
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+                scored(held, batch, *b.value)
+            yield from held.table().to_batches()
+
+        hits = found.mapInArrow(run, schema)
+    else:
+        vt, qt = _tiles(vectors.count(), TILE_ROWS), _tiles(q.rows, TILE_QUERIES)
+        left = found.select("*", F.pmod(F.xxhash64(*keys, "id"), F.lit(vt)).alias("vt"), F.explode(F.sequence(F.lit(0), F.lit(qt - 1))).alias("qt"))
+        right = q.df.select("*", F.pmod(F.xxhash64("qid"), F.lit(qt)).cast("int").alias("qt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vt - 1).cast("long"))).alias("vt"))
+
+        def tile(a: pa.Table, c: pa.Table) -> pa.Table:
+            held = _Held(k, names, 1 + len(keys))
+            if a.num_rows and c.num_rows:
+                scored(held, a, c.column("qid").to_numpy(), matrix(c.column("q")))
+            return held.table()
+
+        hits = left.groupBy("vt", "qt").cogroup(right.groupBy("vt", "qt")).applyInArrow(tile, schema)
+    return ranked(hits, k, ["qid", *keys], [F.desc("score"), *(F.asc(c) for c in more)]).drop("rn")
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame | Held, k: int) -> DataFrame:
     """qid, id, shard, score, rn: the k best over all shards, ties by shard and id."""
-    return ranked(scan_topk(vectors, queries, k), k, ["qid"])
+    return ranked(scan_topk(vectors, queries, k, by=(), ties=("shard",)), k, ["qid"])
 
 
-def coarse(queries: DataFrame, centroids: DataFrame, probe: int) -> DataFrame:
-    """qid, q, list_id, prn: the probe lists whose centroids - not normalised - have the greatest dot products. The centroids are n_lists rows, and their size is checked before they are broadcast."""
-    rows = sorted((r.list_id, r.c) for r in centroids.select("list_id", "c").collect()) if _fits(centroids) else None
-    if rows is None:
-        far = centroids.select(F.col("list_id").cast("long").alias("id"), F.col("c").alias("v"))
-        top = ranked(scan_topk(far, queries, probe, by=()), probe, ["qid"], [F.desc("score"), F.asc("id")])
-        return top.join(queries, "qid").select("qid", "q", F.col("id").alias("list_id"), F.col("rn").alias("prn"))
-    b = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+def coarse(queries: DataFrame | Held, centroids: DataFrame | Held, probe: int) -> DataFrame:
+    """qid, list_id, prn: the probe lists - one at least, all at most - whose centroids, which aren't normalised, have the greatest dot products. Where centroids has a shard, each shard's lists are probed and a column names it."""
+    q, c = asked(queries), lists_of(centroids)
+    by, probe = [x for x in c.df.columns if x == "shard"], max(1, probe)
+    cols = [*by, "list_id"]
+    if c.arrays is None:
+        far = c.df.select(*by, F.col("list_id").alias("id"), F.col("c").alias("v"))
+        top = ranked(scan_topk(far, q, probe, by=tuple(by)), probe, ["qid", *by], [F.desc("score"), F.asc("id")])
+        return top.select("qid", *by, F.col("id").alias("list_id"), F.col("rn").alias("prn"))
+    b = q.df.sparkSession.sparkContext.broadcast(c.arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, c = b.value
-        n = min(max(1, probe), MAX_PROBE, len(lists))
+        *keys, cen = b.value
         for batch in batches:
-            if batch.num_rows and n:
-                s = matrix(batch.column("q")) @ c.T
-                o = np.lexsort((np.broadcast_to(lists, s.shape), -s), axis=1)[:, :n]
-                row = np.repeat(np.arange(len(s)), n)
-                yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(row)), batch.column("q").take(pa.array(row)), pa.array(lists[o].ravel()), pa.array(np.tile(np.arange(1, n + 1), len(s)))], ["qid", "q", "list_id", "prn"])
+            qid, qs = batch.column("qid").to_numpy(), matrix(batch.column("q"))
+            step = max(1, SCORES // max(1, len(cen)))
+            for at in _groups(keys[:-1], len(cen)) if len(cen) else ():
+                n = min(probe, len(at))
+                for i in range(0, len(qid), step):
+                    s = qs[i : i + step] @ cen[at].T
+                    r, x = _best(s, keys[-1][at], n)
+                    o = np.lexsort((keys[-1][at][x], -s[r, x], r))
+                    r, x = r[o], x[o]
+                    rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(s)))[r]
+                    keep = rank < n
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[i : i + step][r[keep]]), *(pa.array(y[at][x[keep]]) for y in keys), pa.array(rank[keep] + 1)], ["qid", *cols, "prn"])
 
-    return queries.select(F.col("qid").cast("long").alias("qid"), "q").mapInArrow(run, "qid long, q array<double>, list_id long, prn long")
+    return q.df.mapInArrow(run, "qid long, " + "".join(f"{x} long, " for x in cols) + "prn long")
 
 
-def _fits(centroids: DataFrame) -> bool:
-    n, dim = centroids.agg(F.count(F.lit(1)), F.max(F.size("c"))).first()
-    return n * (dim or 0) * 8 <= CENTROID_BYTES
+def lists_of(centroids: DataFrame | Held) -> Held:
+    if isinstance(centroids, Held):
+        return centroids
+    return Held(centroids, [*(x for x in centroids.columns if x == "shard"), "list_id"], "c", CENTROID_BYTES)
 
 
 def first_of_lists(vectors: DataFrame, max_scan: int) -> DataFrame:
-    """The first max_scan vectors of each shard's list, in order of id; 0 means all."""
+    """The first max_scan vectors of each shard's list, in order of id; 0 means all. Tasks drop what can't be among them before the shuffle."""
     if max_scan <= 0:
         return vectors
-    w = Window.partitionBy("shard", "list_id").orderBy("id")
-    return vectors.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max_scan).drop("__n")
-
-
-def fine(vectors: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """qid, shard, id, score: of the probed lists, each shard's k best. A list of more than LIST_ROWS rows is dealt to several tasks, each of which gets its queries."""
-    sizes = vectors.groupBy("list_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / LIST_ROWS)).cast("int").alias("parts"))
-    asked = probes.join(sizes, "list_id").select("list_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "q")
-    dealt = vectors.join(sizes, "list_id").select("list_id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("shard").cast("long").alias("shard"), F.col("id").cast("long").alias("id"), "v")
-
-    def run(left, right):
-        out = []
-        if left.num_rows and right.num_rows:
-            shard, ids, v = left.column("shard").to_numpy(), left.column("id").to_numpy(), matrix(left.column("v"))
-            qid, q = right.column("qid").to_numpy(), matrix(right.column("q"))
-            for s in np.unique(shard):
-                at = np.flatnonzero(shard == s)
-                for i in range(0, len(qid), 512):
-                    score = q[i : i + 512] @ v[at].T
-                    r, c = _best(score, ids[at], k)
-                    out.append(pa.table([pa.array(qid[i : i + 512][r]), pa.array(shard[at][c]), pa.array(ids[at][c]), pa.array(score[r, c])], names=["qid", "shard", "id", "score"]))
-        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in (("qid", pa.int64()), ("shard", pa.int64()), ("id", pa.int64()), ("score", pa.float64()))})
-
-    hits = dealt.groupBy("list_id", "part").cogroup(asked.groupBy("list_id", "part")).applyInArrow(run, "qid long, shard long, id long, score double")
-    return ranked(hits, k, ["qid", "shard"], [F.desc("score"), F.asc("id")]).drop("rn")
+    names = vectors.columns
+    shard, at, key = (names.index(c) for c in ("shard", "list_id", "id"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, x, i = (b.column(k).to_numpy(zero_copy_only=False) for k in (shard, at, key))
+            o = np.lexsort((i, x, s))
+            new = np.concatenate(([True], (s[o][1:] != s[o][:-1]) | (x[o][1:] != x[o][:-1])))
+            place = np.arange(len(o))
+            yield b.take(pa.array(np.sort(o[place - np.maximum.accumulate(np.where(new, place, 0)) < max_scan])))
 
-def ivf_topk(vectors: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probe: int, max_scan: int = 0) -> DataFrame:
-    """qid, shard, id, score, rn over vectors (shard, list_id, id, v): coarse, fine, then all shards merged."""
-    return ranked(fine(first_of_lists(vectors, max_scan), coarse(queries, centroids, probe), k), k, ["qid"])
+    w = Window.partitionBy("shard", "list_id").orderBy("id")
+    return vectors.mapInArrow(run, vectors.schema).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max_scan).drop("__n")
+
+
+def probed_only(vectors: DataFrame, lists: list[tuple[int, ...]], cols: list[str]) -> DataFrame:
+    """vectors of those lists alone. The filter is on columns of the scan, so folders or row groups of other lists aren't read."""
+    if len(lists) > NAMED_LISTS:
+        named = vectors.sparkSession.createDataFrame(lists, ", ".join(f"{c} long" for c in cols))
+        return vectors.join(F.broadcast(named), cols, "left_semi")
+    if len(cols) == 1:
+        return vectors.where(F.col(cols[0]).isin([x for (x,) in lists]))
+    shards: dict[int, list[int]] = {}
+    for s, x in lists:
+        shards.setdefault(s, []).append(x)
+    which = F.lit(False)
+    for s, xs in shards.items():
+        which = which | ((F.col(cols[0]) == s) & F.col(cols[1]).isin(xs))
+    return vectors.where(which)
+
+
+def fine(vectors: DataFrame, probes: DataFrame, queries: DataFrame | Held, k: int, max_scan: int = 0) -> DataFrame:
+    """qid, shard, id, score: each query's k best of the lists it probes, ties by shard and id.
+
+    Where queries and probes are at most QUERY_BYTES, a size that is checked, vectors are filtered to the probed lists at
+    their scan and scored there, without a shuffle. Beyond, lists meet their queries by a shuffle, in tiles, so that
+    neither a list of many vectors nor one of many queries is one task's.
+    """
+    q = asked(queries)
+    cols = [c for c in ("shard", "list_id") if c in probes.columns]
+    names, schema = ["qid", "shard", "id", "score"], "qid long, shard long, id long, score double"
+    probes = materialise(probes.select("qid", *cols), "probes")
+    order = [F.desc("score"), F.asc("shard"), F.asc("id")]
+    need = [F.col(c).cast("long").alias(c) for c in ("shard", "list_id", "id")] + [F.col("v")]
+    if q.arrays is not None and probes.count() * 8 * (1 + len(cols)) + q.rows * 8 * (q.dim + 1) <= QUERY_BYTES:
+        p = probes.toArrow()
+        keys = [p.column(c).to_numpy() for c in cols]
+        row = np.searchsorted(q.arrays[0], p.column("qid").to_numpy())
+        by_list = {tuple(int(x[at[0]]) for x in keys): row[at] for at in _groups(keys, len(row))} if len(row) else {}
+        b = vectors.sparkSession.sparkContext.broadcast((by_list, *q.arrays))
+        near = first_of_lists(probed_only(vectors.select("shard", "list_id", "id", "v"), list(by_list), cols), max_scan).select(*need)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, (lists, qid, qs) = _Held(k, names, 1), b.value
+            for batch in batches:
+                col = {c: batch.column(c).to_numpy() for c in ("shard", "list_id", "id")}
+                v = matrix(batch.column("v"))
+                for at in _groups([col[c] for c in cols], len(v)):
+                    rows = lists.get(tuple(int(col[c][at[0]]) for c in cols))
+                    if rows is not None:
+                        held.score(qid[rows], qs[rows], [], [col["shard"][at], col["id"][at]], v[at])
+            yield from held.table().to_batches()
+
+        return ranked(near.mapInArrow(run, schema), k, ["qid"], order).drop("rn")
+    near = first_of_lists(vectors.select("shard", "list_id", "id", "v"), max_scan).select(*need)
+    parts = lambda df, each: df.groupBy(*cols).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / each)).cast("int").alias("n"))
+    n = parts(vectors, TILE_ROWS).withColumnRenamed("n", "vs").join(parts(probes, TILE_QUERIES).withColumnRenamed("n", "qs"), cols)
+    n = materialise(n, "tiles")
+    left = near.join(n, cols).select(*near.columns, F.pmod(F.xxhash64("id"), F.col("vs")).cast("int").alias("vt"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qt"))
+    right = probes.join(q.df, "qid").join(n, cols).select(*cols, "qid", "q", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int").alias("qt"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vt"))
+
+    def tile(a: pa.Table, c: pa.Table) -> pa.Table:
+        held = _Held(k, names, 1)
+        if a.num_rows and c.num_rows:
+            held.score(c.column("qid").to_numpy(), matrix(c.column("q")), [], [a.column("shard").to_numpy(), a.column("id").to_numpy()], matrix(a.column("v")))
+        return held.table()
+
+    hits = left.groupBy(*cols, "vt", "qt").cogroup(right.groupBy(*cols, "vt", "qt")).applyInArrow(tile, schema)
+    return ranked(hits, k, ["qid"], order).drop("rn")
+
+
+def ivf_topk(vectors: DataFrame, centroids: DataFrame | Held, queries: DataFrame | Held, k: int, probe: int, max_scan: int = 0) -> DataFrame:
+    """qid, shard, id, score, rn over vectors (shard, list_id, id, v): the nearest lists - of each shard, where centroids has one - are scanned and all shards merged."""
+    q = asked(queries)
+    return ranked(fine(vectors, coarse(q, centroids, probe), q, k, max_scan), k, ["qid"])
 
 
 def probe_recall(hits: DataFrame, vectors: DataFrame, probes: DataFrame) -> DataFrame:
@@ -209,7 +342,10 @@ def with_meta(hits: DataFrame, meta: DataFrame, keys: tuple[str, ...] = ("shard"
     return hits.join(meta, list(keys), "left")
 
 
-def check_k(k: int, cap: int = MAX_K) -> int:
+def check_k(k: int, cap: int | None = None) -> int:
+    """k, which is positive and, where a caller has a cap, at most that: more is an error, never fewer rows than were asked for."""
     if k < 1:
         raise ValueError("k must be positive")
-    return min(k, cap)
+    if cap is not None and k > cap:
+        raise ValueError(f"k must be at most {cap}")
+    return k

@@ -29,17 +29,17 @@ def without_tombstones(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def tiered_hits(tiers: DataFrame, tombstones: DataFrame, queries: DataFrame, k: int, strict: bool = False) -> DataFrame:
-    """qid, seq, shard, id, score, rn over tiers (seq, shard, id, v)."""
+    """qid, seq, shard, id, score, rn over tiers (seq, shard, id, v). strict searches only each id's newest row, without tombstoned ones, so it finds k wherever there are k."""
+    order = [F.desc("seq"), F.desc("score"), F.asc("shard"), F.asc("id")]
+    if strict:
+        newest = tiers.groupBy("id").agg(F.max("seq").alias("seq"))
+        live = without_tombstones(tiers.join(newest, ["id", "seq"]), tombstones)
+        return ranked(scan_topk(live, queries, k, by=("seq", "shard")), k, ["qid"], order).select("qid", "seq", "shard", "id", "score", "rn")
     hits = scan_topk(tiers, queries, OVER_FETCH * k, by=("seq", "shard"))
     hits = ranked(hits, OVER_FETCH * k, ["qid", "seq"]).drop("rn")
     hits = without_tombstones(hits, tombstones)
-    if strict:
-        newest = tiers.groupBy("id").agg(F.max("seq").alias("newest"))
-        hits = hits.join(newest, "id").where("seq = newest").drop("newest")
-    else:
-        base = hits.where("seq = 0").join(overridden(tiers), "id", "left_anti")
-        hits = hits.where("seq > 0").unionByName(base)
-    order = [F.desc("seq"), F.desc("score"), F.asc("shard"), F.asc("id")]
+    base = hits.where("seq = 0").join(overridden(tiers), "id", "left_anti")
+    hits = hits.where("seq > 0").unionByName(base)
     seen = Window.partitionBy("qid", "id").orderBy(*order)
     hits = hits.withColumn("__first", F.row_number().over(seen)).where("__first = 1").drop("__first")
     return ranked(hits, k, ["qid"], order).select("qid", "seq", "shard", "id", "score", "rn")

@@ -73,11 +73,11 @@ def half_decode(spark, sf):
     return b.where(F.shiftright("b", 10).bitwiseAND(F.lit(31)) < 31).select("b", half_bits(F.col("b")).alias("value"))
 
 
-@_add("half_range", "SELECT id, CASE WHEN x > 65504 THEN 'over' WHEN x = 0 THEN 'zero' ELSE 'in' END AS kind, round(CASE WHEN x > 65504 OR x = 0 THEN 0 ELSE round_even(x * pow(2.0, 10 - greatest(floor(log2(x)), -14)), 0) / pow(2.0, 10 - greatest(floor(log2(x)), -14)) END, 9) AS half FROM (SELECT p_partkey::BIGINT AS id, CASE WHEN p_partkey % 5 = 0 THEN 0.0 WHEN p_partkey % 7 = 0 THEN p_retailprice::DOUBLE * 100 ELSE p_retailprice::DOUBLE / 1e7 END AS x FROM part)")
+@_add("half_range", "SELECT id, CASE WHEN x > 65504 THEN 'over' WHEN x = 0 THEN 'zero' ELSE 'in' END AS kind, round(CASE WHEN x >= 65520 THEN 'inf'::DOUBLE WHEN x > 65504 OR x = 0 THEN least(x, 65504) ELSE round_even(x * pow(2.0, 10 - greatest(floor(log2(x)), -14)), 0) / pow(2.0, 10 - greatest(floor(log2(x)), -14)) END, 9) AS half FROM (SELECT p_partkey::BIGINT AS id, CASE WHEN p_partkey % 5 = 0 THEN 0.0 WHEN p_partkey % 7 = 0 THEN p_retailprice::DOUBLE * 100 ELSE p_retailprice::DOUBLE / 1e7 END AS x FROM part)")
 def half_range(spark, sf):
     p, x = d.table(spark, sf, "part"), F.col("x")
     p = p.select(F.col("p_partkey").cast("long").alias("id"), F.when(F.col("p_partkey") % 5 == 0, 0.0).when(F.col("p_partkey") % 7 == 0, F.col("p_retailprice").cast("double") * 100).otherwise(F.col("p_retailprice").cast("double") / 1e7).alias("x"))
-    return p.select("id", F.when(x > 65504, "over").when(x == 0, "zero").otherwise("in").alias("kind"), F.round(F.when((x > 65504) | (x == 0), 0.0).otherwise(half(x)), 9).alias("half"))
+    return p.select("id", F.when(x > 65504, "over").when(x == 0, "zero").otherwise("in").alias("kind"), F.round(half(x), 9).alias("half"))
 
 
 @_add("centroid_mean", f"WITH {d.V}, {d.C} SELECT list_id, (pos - 1)::BIGINT AS pos, round(x, 6) AS x FROM (SELECT list_id, unnest(c) AS x, generate_subscripts(c, 1) AS pos FROM c)")
@@ -169,7 +169,8 @@ r AS MATERIALIZED (SELECT probe, (SELECT count(*) FROM at_list WHERE prn <= prob
 
 def _recall(spark, sf):
     v, q = d.vectors(spark, sf), d.queries(spark, sf)
-    return search.probe_recall(search.exact_topk(v, q, d.K), v, search.coarse(q, build.centroids_of(v), search.MAX_PROBE))
+    q = search.asked(q)
+    return search.probe_recall(search.exact_topk(v, q, d.K), v, search.coarse(q, build.centroids_of(v), N_LISTS))
 
 
 @_add("probe_recall", f"WITH {d.V}, {d.C}, {d.exact()}, {_RECALL} SELECT probe, round(recall, 6) AS recall FROM r")
@@ -228,15 +229,31 @@ def id_generation(spark, sf):
     return tables.with_ids(d.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_acctbal"), None, ["c_acctbal", "c_custkey"]).select("c_custkey", "id")
 
 
+@_add("id_generation_large", "SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, copy::BIGINT AS copy, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, copy) - 1 AS id FROM lineitem, unnest(range(3)) AS c(copy)")
+def id_generation_large(spark, sf):
+    rows = d.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_extendedprice", "l_partkey", "l_suppkey", F.explode(F.sequence(F.lit(0), F.lit(2))).cast("long").alias("copy")
+    )
+    return tables.with_ids(rows, None, ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy"]).select("l_orderkey", "l_linenumber", "copy", "id")
+
+
 _DIGITS = "CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE source || '-' || doc_id END"
+_IDS = "SELECT k, CASE WHEN regexp_full_match(k, '\\d+') THEN k::BIGINT ELSE row_number() OVER (ORDER BY k) - 1 END AS id FROM"
 
 
-@_add("digit_ids", f"SELECT k, CASE WHEN regexp_full_match(k, '\\d{{1,18}}') THEN k::BIGINT ELSE row_number() OVER (ORDER BY k) - 1 END AS id FROM (SELECT {_DIGITS} AS k FROM documents)")
+@_add("digit_ids", f"{_IDS} (SELECT {_DIGITS} AS k FROM documents)")
 def digit_ids(spark, sf):
     k = d.documents(spark, sf).select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise(F.concat("source", F.lit("-"), F.col("doc_id"))).alias("k"))
     return tables.digit_ids(k, "k").select("k", "id")
 
 
+@_add("digit_ids_large", f"{_IDS} (SELECT CASE WHEN l_orderkey % 3 = 0 THEN (l_orderkey * 100 + l_linenumber)::BIGINT::VARCHAR ELSE 'L' || l_orderkey || '-' || l_linenumber END AS k FROM lineitem)")
+def digit_ids_large(spark, sf):
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    k = d.table(spark, sf, "lineitem").select(F.when(o % 3 == 0, (o * 100 + n).cast("long").cast("string")).otherwise(F.concat(F.lit("L"), o, F.lit("-"), n)).alias("k"))
+    return tables.digit_ids(k, "k").select("k", "id")
+
+
 @_add("range_sharding", "SELECT doc_id, doc_id // 64 AS shard, 'pack.shard' || lpad((doc_id // 64)::VARCHAR, 3, '0') AS shard_name FROM documents")
 def range_sharding(spark, sf):
     return tables.ranges(d.documents(spark, sf).select("doc_id"), 64, "doc_id")
@@ -365,7 +382,8 @@ _BOTH = f"WITH {d.V}, {d.C}, {d.exact()}, {d.ivf(2)}, {_COMPARE}"
 
 
 def _metrics(spark, sf):
-    return quality.compare(search.exact_topk(d.vectors(spark, sf), d.queries(spark, sf), d.K), _ivf(spark, sf, 2), d.queries(spark, sf), d.K)
+    v, q = d.vectors(spark, sf), search.asked(d.queries(spark, sf))
+    return quality.compare(search.exact_topk(v, q, d.K), search.ivf_topk(v, build.centroids_of(v), q, d.K, 2), q.df, d.K)
 
 
 @_add("rank_metrics", f"{_BOTH} SELECT qid, round(overlap, 6) AS overlap, round(jaccard, 6) AS jaccard, round(tau, 6) AS tau FROM mt")
@@ -380,8 +398,8 @@ def fidelity_gate(spark, sf):
 
 @_add("canary", f"{_BOTH} SELECT round(avg(overlap), 6) AS avg_overlap, round(min(overlap), 6) AS min_overlap, count(*) AS n_queries, avg(overlap) >= 0.8 AND min(overlap) >= 0.7 AS passed FROM mt")
 def canary(spark, sf):
-    base = search.exact_topk(d.vectors(spark, sf), d.queries(spark, sf), d.K)
-    return _round(quality.canary(base, _ivf(spark, sf, 2), d.queries(spark, sf), d.K), "avg_overlap", "min_overlap")
+    v, q = d.vectors(spark, sf), search.asked(d.queries(spark, sf))
+    return _round(quality.canary(search.exact_topk(v, q, d.K), search.ivf_topk(v, build.centroids_of(v), q, d.K, 2), q.df, d.K), "avg_overlap", "min_overlap")
 
 
 @_add("query_sample", "SELECT item_id FROM benchmark ORDER BY sha256('42:' || item_id) LIMIT 20")

@@ -61,8 +61,10 @@ def test_hand_made_search(spark):
     assert [r.id for r in search.ivf_topk(v, c, q, 3, 2, max_scan=1).orderBy("rn").collect()] == [100, 200]
     assert search.exact_topk(v.limit(0), q, 3).count() == 0 and search.exact_topk(v, q.limit(0), 3).count() == 0
     assert search.presets(1024) == {"fast": 32, "balanced": 128, "safe": 193, "default": 193} and search.presets(1)["default"] == 1
-    with pytest.raises(ValueError):
-        search.check_k(0)
+    assert search.check_k(1000) == 1000
+    for k, cap in ((0, None), (300, 256)):
+        with pytest.raises(ValueError):
+            search.check_k(k, cap)
 
 
 @settings(max_examples=20, deadline=None)
@@ -80,15 +82,73 @@ def test_best_keeps_ties(seed, k, n, coarse):
 def test_blocks_and_large_lists(spark, monkeypatch):
     r = np.random.default_rng(2)
     x = r.standard_normal((300, 5))
-    v = spark.createDataFrame([(i % 4, i, i % 3, row.tolist()) for i, row in enumerate(x)], "list_id long, id long, shard long, v array<double>").repartition(5)
+    v = spark.createDataFrame([(i % 4, i, i % 3, row.tolist()) for i, row in enumerate(x)], "list_id long, id long, shard long, v array<double>").repartition(2).cache()
     q = ask(spark, *x[:23])
-    monkeypatch.setattr(search, "LIST_ROWS", 20)
     want = {(i, int(j)) for i in range(23) for j in np.lexsort((np.arange(300), np.arange(300) % 3, -(x @ x[i])))[:4]}
-    assert {(h.qid, h.id) for h in search.ranked(search.scan_topk(v, q, 4, block=7), 4, ["qid"]).collect()} == want
-    cen = build.centroids_of(v)
-    assert {(h.qid, h.id) for h in search.ivf_topk(v, cen, q, 4, 4).collect()} == want
-    monkeypatch.setattr(search, "CENTROID_BYTES", 1)
-    assert {(h.qid, h.id) for h in search.ivf_topk(v, cen, q, 4, 99).collect()} == want
+    cen = search.lists_of(build.centroids_of(v)).df
+    per_shard = search.lists_of(v.select("shard", "list_id").distinct().join(cen, "list_id")).df
+    ids = lambda df: {(h.qid, h.id) for h in df.collect()}
+    rows = lambda df: sorted(map(tuple, df.select("qid", "rn", "shard", "id").collect()))
+    probes = lambda c, n: sorted(map(tuple, search.coarse(q, c, n).collect()))
+    near = rows(search.ivf_topk(v, cen, q, 4, 2))
+    few, clamped, by_shard = probes(cen, 2), probes(cen, 9000), probes(per_shard, 3)
+    assert len(clamped) == 23 * 4 and len(probes(cen, 0)) == 23 and len(by_shard) == 23 * 9
+    scan = rows(search.ivf_topk(v, cen, q, 4, 3, max_scan=7))
+    for broadcast in (True, False):  # the sizes that are checked decide how, never what
+        if not broadcast:
+            for name, value in (("QUERY_BYTES", 0), ("CENTROID_BYTES", 0), ("TILE_ROWS", 40), ("TILE_QUERIES", 7), ("SCORES", 100), ("HELD", 50), ("NAMED_LISTS", 1)):
+                monkeypatch.setattr(search, name, value)
+        assert ids(search.exact_topk(v, q, 4)) == want == ids(search.ivf_topk(v, cen, q, 4, 4)) == ids(search.ivf_topk(v, per_shard, q, 4, 99))
+        assert rows(search.ivf_topk(v, cen, q, 4, 2)) == near and near != rows(search.exact_topk(v, q, 4))
+        assert (probes(cen, 2), probes(cen, 9000), probes(per_shard, 3)) == (few, clamped, by_shard)
+        assert rows(search.ivf_topk(v, cen, q, 4, 3, max_scan=7)) == scan
+        assert search.scan_topk(v, q, 400).count() == 23 * 300 and search.exact_topk(v, q, 300).count() == 23 * 300
+    monkeypatch.setattr(search, "QUERY_BYTES", 1 << 20)
+    assert rows(search.ivf_topk(v, cen, q, 4, 2)) == near  # a broadcast join where the filter would name too many lists
+
+
+def test_an_index_reads_the_probed_lists_alone(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((400, 4))
+    v = spark.createDataFrame([(0, i % 8, i, row.tolist()) for i, row in enumerate(x)], "shard long, list_id long, id long, v array<double>")
+    build.write_layout(v, f"{tmp_path}/l")
+    on_disk = spark.read.parquet(f"{tmp_path}/l")
+    plan = search.ivf_topk(on_disk, build.centroids_of(v), ask(spark, x[3]), 5, 1)._jdf.queryExecution().toString()
+    physical = plan[plan.index("Physical Plan") :]
+    assert "PartitionFilters: [" in physical and "list_id" in physical[physical.index("PartitionFilters") :].split("]")[0]
+    assert physical.count("Exchange hashpartitioning") == 1 and "hashpartitioning(qid" in physical  # k rows a query and task, no vector
+
+
+def test_assign_by_blocks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x, c = r.standard_normal((200, 3)), r.standard_normal((30, 3))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    cen = spark.createDataFrame([(i * 3, row.tolist()) for i, row in enumerate(c)], "list_id long, c array<double>")
+    want = [(i, 3 * int(((c - x[i]) ** 2).sum(axis=1).argmin())) for i in range(200)]
+    got = lambda: sorted((r.id, r.list_id) for r in build.assign(v, cen).collect())
+    assert got() == want
+    monkeypatch.setattr(search, "CENTROID_BYTES", 7 * 32)
+    assert got() == want
+    with pytest.raises(ValueError, match="no centroids"):
+        build.assign(v, cen.limit(0))
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_lose_no_row(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for n, parts in ((1_000_000, 1), (1_000_000, 64), (300_000, 7)):
+            df = spark.range(n).select((F.col("id") * 7919 % 1_000_003).alias("k")).repartition(parts)
+            got = tables.numbered(df, ["k"], start=5)
+            r = got.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+            assert tuple(r) == (n, n, 5, n + 4)
+            a, b = got.alias("a"), got.alias("b")
+            assert a.join(b, F.col("a.id") + 1 == F.col("b.id")).where("a.k >= b.k").count() == 0
+        same = tables.numbered(spark.range(1000).selectExpr("1 AS k"), ["k"])
+        assert sorted(r.id for r in same.collect()) == list(range(1000)) and tables.numbered(spark.range(0), ["id"], "at").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def tier(spark, rows):
@@ -107,6 +167,13 @@ def test_tiers(spark):
     assert {(r.id, tuple(r.v)) for r in versions.rebase(t, dead).collect()} == {(0, (0.2, 0.8)), (1, (0.9, 0.1)), (3, (0.8, 0.2))}
 
 
+def test_strict_finds_k_where_there_are_k(spark):
+    rows = [(0, i, [1.0 - i / 100, 0.0]) for i in range(40)] + [(1, i, [-1.0, 0.0]) for i in range(30)]
+    dead = spark.createDataFrame([(i,) for i in range(30, 35)], "id long")
+    got = [(r.seq, r.id) for r in versions.tiered_hits(tier(spark, rows), dead, ask(spark, [1, 0]), 35, strict=True).orderBy("rn").collect()]
+    assert got == [(1, i) for i in range(30)] + [(0, i) for i in range(35, 40)]
+
+
 def test_metrics_match_definitions(spark):
     cases = [([1, 2, 3, 4], [2, 1, 4, 9]), ([1, 2], []), ([], []), ([5], [5]), ([1, 2, 3], [3, 2, 1])]
     hits = lambda k: spark.createDataFrame([(i, r + 1, x) for i, c in enumerate(cases) for r, x in enumerate(c[k])], "qid long, rn long, id long")
@@ -212,6 +279,10 @@ def test_registry(spark):
     c["orgs"] = registry.insert(c["orgs"], spark.createDataFrame([(1, "o")], registry.SCHEMAS["orgs"]), ["name"])
     with pytest.raises(Exception, match="409"):
         registry.insert(c["orgs"], spark.createDataFrame([(2, "o")], registry.SCHEMAS["orgs"]), ["name"]).collect()
+    twice = spark.createDataFrame([(3, "p"), (4, "p"), (5, "q")], registry.SCHEMAS["orgs"])
+    with pytest.raises(Exception, match="409"):
+        registry.insert(c["orgs"], twice, ["name"]).collect()
+    assert registry.insert(c["orgs"], twice.where("org_id > 3"), ["name"]).count() == 3
     assert registry.log(c, "me", "create", "o", 1.0)["audit"].count() == 1
     assert bytes(spark.range(1).select(registry.byte_range(F.lit(b"abcdef"), 1, 3)).first()[0]) == b"bcd"
     with pytest.raises(ValueError):
@@ -229,6 +300,25 @@ def test_layout_and_training(spark, tmp_path):
     assert build.assign(v, c).select("list_id").distinct().count() == 2
 
 
+def test_clusters_are_about_as_tight_as_lloyds(spark):
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.standard_normal((150, 4)) * 0.2 + m for m in r.standard_normal((6, 4)) * 3])
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    c = build.train(v, 6, seed=7)
+    cen = {row.list_id: np.array(row.c) for row in c.collect()}
+    inertia = sum(((x[row.id] - cen[row.list_id]) ** 2).sum() for row in build.assign(v, c).select("id", "list_id").collect())
+
+    def lloyd(seed):
+        m = x[np.random.default_rng(seed).choice(len(x), 6, replace=False)]
+        for _ in range(20):
+            d = ((x[:, None] - m) ** 2).sum(axis=2)
+            m = np.stack([x[d.argmin(axis=1) == k].mean(axis=0) if (d.argmin(axis=1) == k).any() else m[k] for k in range(6)])
+        return ((x[:, None] - m) ** 2).sum(axis=2).min(axis=1).sum()
+
+    runs = [lloyd(s) for s in range(10)]
+    assert inertia <= max(runs) * 1.001 and inertia < ((x - x.mean(axis=0)) ** 2).sum() / 3
+
+
 def test_stream_becomes_deltas(spark, tmp_path):
     rows = [(0, 5, [0.0, 1.0], False), (0, 1, [0.0, 0.0], True)]
     spark.createDataFrame(rows, "shard long, id long, v array<double>, deleted boolean").write.json(f"{tmp_path}/in")
