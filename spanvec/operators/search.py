@@ -22,6 +22,8 @@ QUERY_BYTES = 64 << 20
 CENTROID_BYTES = 256 << 20
 #: Rows of one tile's vectors, and of its queries.
 TILE_ROWS, TILE_QUERIES = 200_000, 20_000
+#: Rows of a table that reach the driver before its size is asked for: at most FEW times the longest vector.
+FEW = 1024
 #: Numbers in one matrix of scores, and rows that a task holds before it drops what is not among the best.
 SCORES, HELD = 4 << 20, 1 << 20
 #: Lists up to which the scan's filter names each of them; more are a broadcast join.
@@ -112,15 +114,27 @@ def ranked(hits: DataFrame, k: int, by: list[str], order: list[Column] | None =
 
 
 class Held:
-    """A table of keys and vectors that is computed once; .arrays has both where their size, which is checked, is at most limit bytes."""
+    """A table of keys and vectors that is computed once; .arrays has both, in order of the keys, where their size, which is checked, is at most limit bytes."""
 
     def __init__(self, df: DataFrame, keys: list[str], vector: str, limit: int):
-        self.df = materialise(df.select(*(F.col(c).cast("long").alias(c) for c in keys), F.col(vector).cast("array<double>").alias(vector)), "vectors")
-        self.rows, self.dim = self.df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
+        df = df.select(*(F.col(c).cast("long").alias(c) for c in keys), F.col(vector).cast("array<double>").alias(vector))
+        some = df.limit(FEW + 1).toArrow()
+        if some.num_rows <= FEW:
+            self.df, self.rows = df.sparkSession.createDataFrame(some.cast(_arrow_schema(keys, vector))), some.num_rows
+            self.dim = max((len(x) for x in some.column(vector).to_pylist()[:1]), default=0)
+        else:
+            self.df, some = materialise(df, "vectors"), None
+            self.rows, self.dim = self.df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
         self.arrays = None
         if self.rows * (self.dim + len(keys)) * 8 <= limit:
-            t = self.df.orderBy(*keys).toArrow()
-            self.arrays = (*(t.column(c).to_numpy() for c in keys), matrix(t.column(vector)).reshape(self.rows, self.dim))
+            t = self.df.toArrow() if some is None else some
+            cols = [t.column(c).to_numpy() for c in keys]
+            o = np.lexsort(cols[::-1])
+            self.arrays = (*(c[o] for c in cols), matrix(t.column(vector)).reshape(self.rows, self.dim)[o])
+
+
+def _arrow_schema(keys: list[str], vector: str) -> pa.Schema:
+    return pa.schema([*((c, pa.int64()) for c in keys), (vector, pa.list_(pa.float64()))])
 
 
 def asked(queries: DataFrame | Held) -> Held:
@@ -174,9 +188,37 @@ def exact_topk(vectors: DataFrame, queries: DataFrame | Held, k: int) -> DataFra
     return ranked(scan_topk(vectors, queries, k, by=(), ties=("shard",)), k, ["qid"])
 
 
+def _nearest(qid: np.ndarray, qs: np.ndarray, keys: list[np.ndarray], cen: np.ndarray, probe: int) -> Iterator[list[np.ndarray]]:
+    """qid, keys... and rank of the nearest lists."""
+    step = max(1, SCORES // max(1, len(cen)))
+    for at in _groups(keys[:-1], len(cen)) if len(cen) else ():
+        n = min(probe, len(at))
+        for i in range(0, len(qid), step):
+            s = qs[i : i + step] @ cen[at].T
+            r, x = _best(s, keys[-1][at], n)
+            o = np.lexsort((keys[-1][at][x], -s[r, x], r))
+            r, x = r[o], x[o]
+            rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(s)))[r]
+            keep = rank < n
+            yield [qid[i : i + step][r[keep]], *(y[at][x[keep]] for y in keys), rank[keep] + 1]
+
+
+def _probes(q: Held, c: Held, probe: int) -> pa.Table | None:
+    """The probes where queries, lists and scores are few enough for the driver."""
+    if q.arrays is None or c.arrays is None or q.rows * max(c.rows, 1) > SCORES:
+        return None
+    found = list(_nearest(*q.arrays, list(c.arrays[:-1]), c.arrays[-1], max(1, probe)))
+    names = ["qid", *(x for x in c.df.columns if x == "shard"), "list_id", "prn"]
+    cols = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * len(names)
+    return pa.table([pa.array(x, pa.int64()) for x in cols], names=names)
+
+
 def coarse(queries: DataFrame | Held, centroids: DataFrame | Held, probe: int) -> DataFrame:
     """qid, list_id, prn: the probe lists - one at least, all at most - whose centroids, which aren't normalised, have the greatest dot products. Where centroids has a shard, each shard's lists are probed and a column names it."""
     q, c = asked(queries), lists_of(centroids)
+    few = _probes(q, c, probe)
+    if few is not None:
+        return q.df.sparkSession.createDataFrame(few)
     by, probe = [x for x in c.df.columns if x == "shard"], max(1, probe)
     cols = [*by, "list_id"]
     if c.arrays is None:
@@ -188,18 +230,8 @@ def coarse(queries: DataFrame | Held, centroids: DataFrame | Held, probe: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *keys, cen = b.value
         for batch in batches:
-            qid, qs = batch.column("qid").to_numpy(), matrix(batch.column("q"))
-            step = max(1, SCORES // max(1, len(cen)))
-            for at in _groups(keys[:-1], len(cen)) if len(cen) else ():
-                n = min(probe, len(at))
-                for i in range(0, len(qid), step):
-                    s = qs[i : i + step] @ cen[at].T
-                    r, x = _best(s, keys[-1][at], n)
-                    o = np.lexsort((keys[-1][at][x], -s[r, x], r))
-                    r, x = r[o], x[o]
-                    rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(s)))[r]
-                    keep = rank < n
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[i : i + step][r[keep]]), *(pa.array(y[at][x[keep]]) for y in keys), pa.array(rank[keep] + 1)], ["qid", *cols, "prn"])
+            for found in _nearest(batch.column("qid").to_numpy(), matrix(batch.column("q")), keys, cen, probe):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["qid", *cols, "prn"])
 
     return q.df.mapInArrow(run, "qid long, " + "".join(f"{x} long, " for x in cols) + "prn long")
 
@@ -245,7 +277,7 @@ def probed_only(vectors: DataFrame, lists: list[tuple[int, ...]], cols: list[str
     return vectors.where(which)
 
 
-def fine(vectors: DataFrame, probes: DataFrame, queries: DataFrame | Held, k: int, max_scan: int = 0) -> DataFrame:
+def fine(vectors: DataFrame, probes: DataFrame | pa.Table, queries: DataFrame | Held, k: int, max_scan: int = 0) -> DataFrame:
     """qid, shard, id, score: each query's k best of the lists it probes, ties by shard and id.
 
     Where queries and probes are at most QUERY_BYTES, a size that is checked, vectors are filtered to the probed lists at
@@ -253,13 +285,16 @@ def fine(vectors: DataFrame, probes: DataFrame, queries: DataFrame | Held, k: in
     neither a list of many vectors nor one of many queries is one task's.
     """
     q = asked(queries)
-    cols = [c for c in ("shard", "list_id") if c in probes.columns]
+    few = probes if isinstance(probes, pa.Table) else None
+    cols = [c for c in ("shard", "list_id") if c in (probes.column_names if few is not None else probes.columns)]
     names, schema = ["qid", "shard", "id", "score"], "qid long, shard long, id long, score double"
-    probes = materialise(probes.select("qid", *cols), "probes")
+    if few is None:
+        probes = materialise(probes.select("qid", *cols), "probes")
     order = [F.desc("score"), F.asc("shard"), F.asc("id")]
     need = [F.col(c).cast("long").alias(c) for c in ("shard", "list_id", "id")] + [F.col("v")]
-    if q.arrays is not None and probes.count() * 8 * (1 + len(cols)) + q.rows * 8 * (q.dim + 1) <= QUERY_BYTES:
-        p = probes.toArrow()
+    n = few.num_rows if few is not None else probes.count()
+    if q.arrays is not None and n * 8 * (1 + len(cols)) + q.rows * 8 * (q.dim + 1) <= QUERY_BYTES:
+        p = few if few is not None else probes.toArrow()
         keys = [p.column(c).to_numpy() for c in cols]
         row = np.searchsorted(q.arrays[0], p.column("qid").to_numpy())
         by_list = {tuple(int(x[at[0]]) for x in keys): row[at] for at in _groups(keys, len(row))} if len(row) else {}
@@ -278,6 +313,8 @@ def fine(vectors: DataFrame, probes: DataFrame, queries: DataFrame | Held, k: in
             yield from held.table().to_batches()
 
         return ranked(near.mapInArrow(run, schema), k, ["qid"], order).drop("rn")
+    if few is not None:
+        probes = vectors.sparkSession.createDataFrame(few.select(["qid", *cols]))
     near = first_of_lists(vectors.select("shard", "list_id", "id", "v"), max_scan).select(*need)
     parts = lambda df, each: df.groupBy(*cols).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / each)).cast("int").alias("n"))
     n = parts(vectors, TILE_ROWS).withColumnRenamed("n", "vs").join(parts(probes, TILE_QUERIES).withColumnRenamed("n", "qs"), cols)
@@ -297,8 +334,9 @@ def fine(vectors: DataFrame, probes: DataFrame, queries: DataFrame | Held, k: in
 
 def ivf_topk(vectors: DataFrame, centroids: DataFrame | Held, queries: DataFrame | Held, k: int, probe: int, max_scan: int = 0) -> DataFrame:
     """qid, shard, id, score, rn over vectors (shard, list_id, id, v): the nearest lists - of each shard, where centroids has one - are scanned and all shards merged."""
-    q = asked(queries)
-    return ranked(fine(vectors, coarse(q, centroids, probe), q, k, max_scan), k, ["qid"])
+    q, c = asked(queries), lists_of(centroids)
+    few = _probes(q, c, probe)
+    return ranked(fine(vectors, coarse(q, c, probe) if few is None else few, q, k, max_scan), k, ["qid"])
 
 
 def probe_recall(hits: DataFrame, vectors: DataFrame, probes: DataFrame) -> DataFrame:

@@ -232,7 +232,7 @@ def id_generation(spark, sf):
 @_add("id_generation_large", "SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, copy::BIGINT AS copy, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, copy) - 1 AS id FROM lineitem, unnest(range(3)) AS c(copy)")
 def id_generation_large(spark, sf):
     rows = d.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_extendedprice", "l_partkey", "l_suppkey", F.explode(F.sequence(F.lit(0), F.lit(2))).cast("long").alias("copy")
+        F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_extendedprice", "l_partkey", "l_suppkey", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))).alias("copy")
     )
     return tables.with_ids(rows, None, ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy"]).select("l_orderkey", "l_linenumber", "copy", "id")
 

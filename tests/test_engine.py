@@ -96,7 +96,7 @@ def test_blocks_and_large_lists(spark, monkeypatch):
     scan = rows(search.ivf_topk(v, cen, q, 4, 3, max_scan=7))
     for broadcast in (True, False):  # the sizes that are checked decide how, never what
         if not broadcast:
-            for name, value in (("QUERY_BYTES", 0), ("CENTROID_BYTES", 0), ("TILE_ROWS", 40), ("TILE_QUERIES", 7), ("SCORES", 100), ("HELD", 50), ("NAMED_LISTS", 1)):
+            for name, value in (("QUERY_BYTES", 0), ("CENTROID_BYTES", 0), ("FEW", 5), ("TILE_ROWS", 40), ("TILE_QUERIES", 7), ("SCORES", 100), ("HELD", 50), ("NAMED_LISTS", 1)):
                 monkeypatch.setattr(search, name, value)
         assert ids(search.exact_topk(v, q, 4)) == want == ids(search.ivf_topk(v, cen, q, 4, 4)) == ids(search.ivf_topk(v, per_shard, q, 4, 99))
         assert rows(search.ivf_topk(v, cen, q, 4, 2)) == near and near != rows(search.exact_topk(v, q, 4))
