@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import arrow, materialise, qualified, shared_dir  # noqa: F401 - for the operators
+
 U64 = np.uint64
 #: Lower-cases A-Z and turns every byte outside 0-9, a-z and non-ASCII into a space.
 ALNUM = bytes(
@@ -31,22 +32,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor sees. The setting is made only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/spanvec-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder; a lost executor doesn't lose it."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def doc_columns(docs: DataFrame) -> DataFrame:
     """doc_id as a long and text as a string, whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

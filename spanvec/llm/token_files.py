@@ -14,18 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, longs, map_batches, materialise, null_mask, parts_for, read, shared_dir, text_bytes
+from .common import arrow, doc_columns, give_back, longs, materialise, null_mask, parts_for, qualified, read, shared_dir, text_bytes
 from .tokens import encoder, tokenizer_path
 
 MAGIC, VERSION = b"DACTOKEN", 1
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: Bytes of text that go to one file.
 FILE_TEXT_BYTES = 12 << 20
-SAMPLED = 32
+#: Tasks that read files back; each may read several.
+MOST_TASKS = 20_000
 SUPER = 8  # words of the bitmap under one entry of the rank directory
 
 
@@ -55,6 +56,7 @@ class TokenFile:
         at = struct.calcsize("<8sIQQI")
         self.docs = np.frombuffer(data, np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")]), self.n_docs, at)
         at += self.docs.nbytes
+        self.starts = np.concatenate(([0], np.cumsum(self.docs["n"].astype(np.int64))))
         self.levels = []
         for _ in range(n_levels):
             (n,) = struct.unpack_from("<Q", data, at)
@@ -78,6 +80,34 @@ class TokenFile:
             i = int(ranks[s]) + int(np.bitwise_count(words[s * SUPER : w]).sum()) + (int(words[w]) & ((1 << b) - 1)).bit_count()
         return value
 
+    def _rank(self, level: int, i: int) -> int:
+        """Ones before bit i of a level's bitmap: a directory entry and at most SUPER words."""
+        _, words, ranks = self.levels[level]
+        w, b = divmod(i, 64)
+        s = w // SUPER
+        before = int(ranks[s]) if s < len(ranks) else int(ranks[-1]) + int(np.bitwise_count(words[(len(ranks) - 1) * SUPER :]).sum()) if len(ranks) else 0
+        return before + int(np.bitwise_count(words[s * SUPER : w]).sum()) + ((int(words[w]) & ((1 << b) - 1)).bit_count() if b else 0)
+
+    def ids(self, i: int, j: int) -> np.ndarray:
+        """Ids i..j-1: of each level only the chunks, words and rank entries that these have are touched."""
+        if not 0 <= i <= j <= self.n_tokens:
+            raise IndexError((i, j))
+        out = self.levels[0][0][i:j].astype(np.uint32)
+        at, last = np.arange(len(out)), len(self.levels) - 1
+        for k, (_, words, _) in enumerate(self.levels[:last]):
+            if i == j:
+                break
+            bits = np.unpackbits(words[i // 64 : -(-j // 64)].view(np.uint8), bitorder="little")
+            at = at[bits[i % 64 : i % 64 + j - i].astype(bool)]
+            i = self._rank(k, i)
+            j = i + len(at)
+            out[at] |= self.levels[k + 1][0][i:j].astype(np.uint32) << np.uint32(8 * k + 8)
+        return out
+
+    def document(self, n: int) -> np.ndarray:
+        """The ids of the file's n-th document."""
+        return self.ids(int(self.starts[n]), int(self.starts[n + 1]))
+
     def all(self) -> np.ndarray:
         """Every id, a level at a time."""
         out = self.levels[0][0].astype(np.uint32)
@@ -96,93 +126,80 @@ def file_bytes(doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids:
     return [struct.pack("<8sIQQI", MAGIC, VERSION, len(docs), len(ids), len(levels) // 4), docs.tobytes(), *levels]
 
 
-def _bounds(ids: DataFrame, files: int, rows: int) -> np.ndarray:
-    """At most files - 1 cuts of the doc_ids, from about SAMPLED of them a file, chosen by their hash."""
-    if files < 2:
-        return np.zeros(0, np.int64)
-    some = ids.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // (SAMPLED * files)))) == 0))
-    got = np.sort(some.toArrow().column("doc_id").to_numpy())
-    return np.unique(got[np.arange(1, files) * len(got) // files]) if len(got) else np.zeros(0, np.int64)
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, mode: str = "drop", end_id: int = END_ID, file_text_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
-    """Tokenizes whole texts and writes them in ascending doc_id order (null ids first), a file for each range of ids.
+    """Tokenizes whole texts and writes them in ascending doc_id order (null ids first), in files of about file_text_bytes of text.
 
-    Returns the manifest: file number, path, documents, tokens. A task writes under a name of its own and the manifest
-    names the one that counts, so tasks can run again. Rows of one doc_id stay together, in any order.
+    Returns the manifest: part, seq - whose order is that of the files - name, documents, tokens. A task writes under
+    names of its own and the manifest names those that count, so tasks can run again. Rows of one doc_id, or of a null
+    one, are in the order in which they are read and may fill any number of files and tasks. Null text is empty, repeated
+    rows are written each for itself, an empty table gives no file, and other columns don't matter.
     """
-    d = doc_columns(docs)
-    rows, size = text_bytes(d)
-    cuts = _bounds(d.select("doc_id"), parts_for(size, file_text_bytes), rows)
+    spark, d = docs.sparkSession, doc_columns(docs)
+    _, size = text_bytes(d)
+    path = qualified(spark, path)
 
-    def tokenize():
-        enc = encoder(tokenizer, mode)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, part, seq = encoder(tokenizer, mode), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
+        fs, where = arrow(path)
+        doc_ids, nulls, ids, size = [], [], [], 0
 
-        def run(batch: pa.RecordBatch):
-            ids = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
-            part = np.searchsorted(cuts, longs(batch.column("doc_id")), side="right")
-            part[null_mask(batch.column("doc_id"))] = -1
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column("doc_id"), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
-
-        return run
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, mode)
-        at, pend = None, []
-
-        def flush():
-            ids = np.concatenate([np.frombuffer(b"".join(x.column("ids").to_pylist()), enc.dtype) for x in pend])
-            counts = np.concatenate([[len(v) // enc.dtype.itemsize for v in x.column("ids").to_pylist()] for x in pend])
-            doc_ids, nulls = (np.concatenate([f(x.column("doc_id")) for x in pend]) for f in (longs, null_mask))
-            fs, where = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, size
+            counts = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
             fs.create_dir(where, recursive=True)
-            name = f"{at + 1:08d}-{uuid.uuid4().hex}.dac"
+            name = f"{part:06d}-{seq:04d}-{uuid.uuid4().hex}.dac"
+            flat = np.frombuffer(b"".join(ids), enc.dtype)
             with fs.open_output_stream(f"{where}/{name}") as f:
-                for x in file_bytes(doc_ids, nulls, counts, ids):
+                for x in file_bytes(np.array(doc_ids, np.int64), np.array(nulls), counts, flat):
                     f.write(x)
-            return pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "name": [name], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
+            row = {"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "name": [name], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64())}
+            seq, size = seq + 1, 0
+            for x in (doc_ids, nulls, ids):
+                x.clear()
+            return pa.RecordBatch.from_pydict(row)
 
         for b in batches:
-            part = b.column("part").to_numpy()
-            for i, j in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])))):
-                if i < j:
-                    if at is not None and part[i] != at:
-                        yield flush()
-                        pend = []
-                    at = int(part[i])
-                    pend.append(b.slice(i, j - i))
-        if pend:
+            for i, z, t in zip(longs(b.column("doc_id")).tolist(), null_mask(b.column("doc_id")).tolist(), b.column("text").to_pylist()):
+                doc_ids.append(i)
+                nulls.append(z)
+                ids.append(enc.encode(t or "") + end)
+                size += len(t or "") + 1
+                if size >= 2 * file_text_bytes:  # a partition that is larger than its share, or one very long text
+                    yield flush()
+        if ids:
             yield flush()
+        give_back()
 
-    tokens = map_batches(d, tokenize, "part int, doc_id long, ids binary")
-    n = len(cuts) + 1
-    ordered = tokens.repartition(n, "part").sortWithinPartitions(F.asc("part"), F.asc_nulls_first("doc_id"))
-    return materialise(ordered.mapInArrow(write, "part int, name string, n_docs long, n_tokens long"), "token-manifest")
+    # the row's place in the input splits a doc_id that very many rows have
+    placed = d.withColumn("__at", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first("doc_id"), F.asc("__at")]
+    ordered = placed.repartitionByRange(parts_for(size, file_text_bytes), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return materialise(ordered.mapInArrow(write, "part long, seq long, name string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
-    """doc_id, start (tokens of all documents before it), n_tokens, ids_crc32, read back from the files."""
-    # the manifest has one row a file: a running sum over it is small
-    files = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    """doc_id, start (tokens of all documents before it), n_tokens, ids_crc32: every document's ids are addressed in the files by their range, without decoding the rest."""
+    path = qualified(manifest.sparkSession, path)
+    so_far = lambda by, c: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row a partition of the writer is summed in one task, the files of a partition in theirs
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", so_far(Window.orderBy("part"), "all").alias("parts"))
+    files = manifest.join(F.broadcast(parts), "part").withColumn("before", (F.col("parts") + so_far(Window.partitionBy("part").orderBy("seq"), "n_tokens")).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, where = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs, where = arrow(path)
         for b in batches:
             for name, before in zip(b.column("name").to_pylist(), b.column("before").to_pylist()):
                 with fs.open_input_file(f"{where}/{name}") as f:
                     t = TokenFile(f.readall())
-                raw = memoryview(t.all().astype("<u4").tobytes())
-                ends = np.cumsum(t.docs["n"].astype(np.int64))
-                starts = ends - t.docs["n"].astype(np.int64)
-                crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(starts.tolist(), ends.tolist())]
+                crc = [zlib.crc32(t.document(n).astype("<u4").tobytes()) for n in range(t.n_docs)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t.docs["id"].astype(np.int64), mask=t.docs["null"].astype(bool)), pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                    [pa.array(t.docs["id"].astype(np.int64), mask=t.docs["null"].astype(bool)), pa.array(t.starts[:-1] + before), pa.array(np.diff(t.starts)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    n = max(1, manifest.count())
-    return files.select("name", "before", "part").repartition(n, "part").select("name", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = min(max(1, manifest.count()), MOST_TASKS)
+    return files.select("name", "before").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from array import array
 
 import numpy as np
@@ -20,9 +22,18 @@ _MARK = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])")
 _PLAIN = bytes(c for c in range(256) if chr(c).isalnum()) + b" \n.,"
 _RUNS = (b"..", b",,", b".,", b",.", b" .", b" ,", b"\n.", b"\n,")
 _ODD = ("  ", " \n", "\n ", "\n\n")
+_UNSURE: list[re.Pattern] = []
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
 
+def unsure() -> re.Pattern:
+    """Letters and numbers that end with a mark once they are composed and lower-cased, as the capital I with a dot does: behind those no token needs to end."""
+    if not _UNSURE:
+        ends = (c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+        _UNSURE.append(re.compile(f"[{''.join(ends)}]"))
+    return _UNSURE[0]
+
+
 def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
@@ -80,7 +91,8 @@ class Encoder:
 
     mode "space": a token may begin with the one space before it, so texts are cut before single spaces and around single
     line feeds. mode "drop": white space separates tokens and is dropped, so texts are cut at it. Both also cut between
-    letters or numbers and punctuation. No token crosses a cut; where white space is unusual, cuts are fewer or none.
+    letters or numbers and punctuation. No token crosses a cut; where white space is unusual, or letters are of which the
+    normaliser makes marks, cuts are fewer or none.
     """
 
     def __init__(self, path: str, mode: str):
@@ -88,6 +100,7 @@ class Encoder:
         small = self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.dtype = np.dtype("=u2" if small else "=u4")
         self.lower = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("Éa") == "éa"
+        self.normal = self.tok.normalizer is not None
         self.get = _Parts(self.tok, "H" if small else "I", self.lower).__getitem__
         # a text that holds a special token's string is left whole, as the string has punctuation
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -100,6 +113,8 @@ class Encoder:
             raw, plain = None, False
         if not plain and (_RARE.search(text) or any(x in text for x in self.special)):
             return [text]
+        if raw is None and self.normal and unsure().search(text):
+            return [text]
         if self.mode == "drop":
             if self.lower and raw is not None:
                 text = text.lower()  # as the normaliser will; other letters are left to it

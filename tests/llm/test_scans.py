@@ -179,6 +179,10 @@ def test_codes_round_trip(ids):
     assert f.all().tolist() == ids and f.docs["n"].tolist() == [len(ids)]
     for i in range(0, len(ids), 7):
         assert f.token(i) == ids[i]
+    for i in range(0, len(ids) + 1, 61):
+        for j in {i, min(i + 1, len(ids)), min(i + 64, len(ids)), min(i + 613, len(ids)), len(ids)}:
+            assert f.ids(i, j).tolist() == ids[i:j]
+    assert f.document(0).tolist() == ids
     with pytest.raises(IndexError):
         f.token(len(ids))
 
@@ -195,10 +199,42 @@ def test_token_files(spark, docs, tmp_path):
         r = next(r for r in got if (r.doc_id, r.start) == (i, at))
         assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    assert len(got) == len(ODD)
     empty = tf.write_token_files(docs.limit(0), path, f"file://{tmp_path}/e")
     assert tf.read_token_files(empty, f"file://{tmp_path}/e").count() == 0
 
 
+def test_a_hot_id_fills_several_files(spark, tmp_path):
+    path = public_tokenizers.path(tf.TOKENIZER)
+    tok = Tokenizer.from_file(path)
+    rows = [(None, f"none {k}") for k in range(300)] + [(5, f"five {k}") for k in range(300)] + [(5, "same")] * 300 + [(9, "é " * 20_000)] + [(k, f"other {k}") for k in range(10, 60)]
+    man = tf.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, f"file://{tmp_path}/t", file_text_bytes=500)
+    files = man.collect()
+    assert len(files) > 12 and max(f.n_docs for f in files) < 200
+    got = sorted(tf.read_token_files(man, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    crc = lambda t: zlib.crc32(np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert sorted((r.doc_id or 0, r.ids_crc32) for r in got) == sorted((i or 0, crc(t)) for i, t in rows)
+
+
+@pytest.mark.parametrize("name,mode", [(tf.TOKENIZER, "drop"), (pk.TOKENIZER, "space")])
+def test_ids_of_every_letter_and_of_any_text(name, mode):
+    path = public_tokenizers.path(name)
+    tok, enc = Tokenizer.from_file(path), encoder(path, mode)
+    every = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["ALİ. KADİ, ", *(f"ab{c}. x{c}, y" for c in every if c.isalnum() or ord(c) < 0x3000)]
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == e.ids, hex(ord(t[2]))
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.lists(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from([" ", ". ", ", ", "İ", "\u0338", "\u0307", "a", "="])), max_size=30).map("".join))
+    def same(t):
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+    same()
+
+
 @pytest.mark.parametrize("name,mode", [(tf.TOKENIZER, "drop"), (pk.TOKENIZER, "space")])
 def test_words_given_to_the_model(name, mode):
     path = public_tokenizers.path(name)
