@@ -72,13 +72,15 @@ def _hash(data: bytes) -> int:
 
 
 def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, n, h of each row's set, and t, a hash of its text."""
+
     def run(batch: pa.RecordBatch):
         sets = shingle_sets(binaries(batch.column("text")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_hash(pack_set(s)) for s in sets], pa.int64())], ["doc_id", "n", "h"]
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_hash(pack_set(s)) for s in sets], pa.int64()), batch.column("t")], ["doc_id", "n", "h", "t"]
         )
 
-    return map_batches(docs, lambda: run, "doc_id long, n long, h long")
+    return map_batches(docs.withColumn("t", F.xxhash64("text")), lambda: run, "doc_id long, n long, h long, t long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -240,6 +242,13 @@ def partners(n: np.ndarray, side: np.ndarray | None, percent: int):
             yield i, j
 
 
+def shared(mine: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many shingles of one sorted set each of others, sorted sets that begin at starts, has."""
+    at = np.searchsorted(mine, others)
+    at[at == len(mine)] = 0
+    return np.add.reduceat(mine[at] == others, starts, dtype=np.int64)
+
+
 class Tile:
     """Finds the links within rows, or between the rows before and from split on."""
 
@@ -252,8 +261,7 @@ class Tile:
     def links(self):
         """Pairs (i, array of j > i) in the order of size."""
         n, percent = self.n, self.percent
-        local, ids = np.unique(np.concatenate(self.sets), return_inverse=True)
-        ends = np.concatenate(([0], np.cumsum(n)))
+        flat, ends = np.concatenate(self.sets), np.concatenate(([0], np.cumsum(n)))
         lower: dict[int, list[int]] = {}
         for i, names in enumerate(self.names):
             for x in names[names < self.m].tolist():
@@ -264,7 +272,6 @@ class Tile:
             for k, i in enumerate(members[:-1]):
                 done.setdefault(i, []).append(arr[k + 1 :])
         bounds = Bounds(n, [bitmap(s, width_for(len(s))) for s in self.sets], percent)
-        flags = np.zeros(len(local), bool)
         for i, j in partners(n, self.side, percent):
             if i in done:
                 j = np.setdiff1d(j, np.concatenate(done[i]))
@@ -272,14 +279,12 @@ class Tile:
                 j = j[bounds.may(i, j)]
             if not len(j):
                 continue
-            mine = ids[ends[i] : ends[i + 1]]
-            flags[mine] = True
-            if 4 * len(j) > j[-1] + 1 - j[0]:
+            mine = self.sets[i]
+            if 2 * len(j) > j[-1] + 1 - j[0]:
                 a, b = j[0], j[-1] + 1
-                common = np.add.reduceat(flags[ids[ends[a] : ends[b]]], ends[a:b] - ends[a], dtype=np.int64)[j - a]
+                common = shared(mine, flat[ends[a] : ends[b]], ends[a:b] - ends[a])[j - a]
             else:
-                common = np.array([np.count_nonzero(flags[ids[ends[x] : ends[x + 1]]]) for x in j.tolist()])
-            flags[mine] = False
+                common = shared(mine, np.concatenate([self.sets[x] for x in j.tolist()]), np.cumsum(n[j]) - n[j])
             j = j[100 * common >= percent * (n[i] + n[j] - common)]
             if len(j):
                 yield i, j
@@ -479,14 +484,8 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
             return comp
 
 
-def jaccard_links(docs: DataFrame, percent: int = PERCENT, driver_edges: int = DRIVER_EDGES) -> DataFrame:
-    """Links of whole texts by their sets of 2-word shingles, A-Z lower-cased.
-
-    A row for each row of docs: doc_id, n_shingles, n_similar (other rows it links with), component_id (the least
-    doc_id reachable by links). One word is a set by itself. A null, empty or blank text links with nothing. A row with
-    a null doc_id takes part; it counts as similar and gives no id to its component, which is null if all ids are.
-    Repeated rows link with each other like others. Other columns of docs don't matter. 1 <= percent <= 100.
-    """
+def _classes(docs: DataFrame, percent: int, driver_edges: int) -> tuple[DataFrame, DataFrame]:
+    """_members(), and of those with a shingle: doc_id, n, t, n_similar, comp (the component's name), component_id."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     d = doc_columns(docs)
@@ -498,22 +497,52 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, driver_edges: int = D
     rows = classes.join(sums, ["h", "n"], "left").join(comp, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     rows = materialise(rows.select("h", "n", "cnt", "comp", "mn", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_similar")), "classes")
     least = rows.groupBy("comp").agg(F.min("mn").alias("component_id"))
-    rows = rows.join(least, "comp").select("h", "n", "cnt", "n_similar", "component_id")
+    rows = rows.join(least, "comp").select("h", "n", "cnt", "n_similar", "comp", "component_id")
     # classes of over a thousandth of all rows: a thousand at most, so they fit a broadcast, and no task gets a hot one
     hot_from = max(1000, members.count() // 1000)
     hot = F.broadcast(rows.where(F.col("cnt") > hot_from))
     cold = rows.where(F.col("cnt") <= hot_from)
     m = members.where("n > 0")
     found = m.join(hot, ["h", "n"]).unionByName(m.join(hot.select("h", "n"), ["h", "n"], "left_anti").join(cold, ["h", "n"]))
+    return members, found.drop("h", "cnt")
+
+
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """Links of whole texts by their sets of 2-word shingles, A-Z lower-cased.
+
+    A row for each row of docs: doc_id, n_shingles, n_similar (other rows it links with), component_id (the least
+    doc_id reachable by links). One word is a set by itself. A null, empty or blank text links with nothing. A row with
+    a null doc_id takes part; it counts as similar and gives no id to its component, which is null if all ids are.
+    Repeated rows link with each other like others. Other columns of docs don't matter. 1 <= percent <= 100.
+    """
+    members, found = _classes(docs, percent, driver_edges)
     none = members.where("n = 0").select("doc_id", "n", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", "n", "n_similar", "component_id").unionByName(none).withColumnRenamed("n", "n_shingles")
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group that links connect, that of the least doc_id. All columns stay, rows that link with nothing, and rows with a null doc_id, which no id can name."""
-    links = jaccard_links(docs, percent)
-    gone = links.where("component_id <> doc_id or (component_id is not null and doc_id is null)").select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, percent: int = PERCENT, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """docs with one row of each group that links connect, of the least doc_id; all columns stay.
+
+    Rows are told apart by doc_id and text: unlike texts of one doc_id are decided each by its own group. Of a group's
+    rows with the least doc_id one text stays, that of the least hash, and of equal rows with that text any one. Rows
+    that link with nothing stay, null, empty and blank texts among them, and so do rows with a null doc_id, which
+    no id can name: a group of such rows alone is left whole.
+    """
+    found = _classes(docs, percent, driver_edges)[1].where("doc_id is not null").select("doc_id", "t", "comp", "component_id")
+    found = materialise(found.groupBy("doc_id", "t", "comp", "component_id").agg(F.count(F.lit(1)).alias("same")), "groups")
+    own = found.where("doc_id = component_id").groupBy(F.col("comp").alias("c")).agg(F.min("t").alias("kept"))
+    found = found.join(own, F.col("comp") == F.col("c"))
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("t") == F.col("kept"))
+    key = [F.col("doc_id").alias("__id"), F.col("t").alias("__t")]
+    gone = found.where(~stays).select(*key)
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
+    left = docs.join(gone, same, "left_anti")
+    twice = found.where(stays & (F.col("same") > 1)).select(*key)
+    if not twice.limit(1).count():
+        return left
+    # equal rows: a hash of each, so that one row of a hot one is chosen before the shuffle
+    once = left.join(twice, same, "left_semi").withColumns({"__id": F.col("doc_id"), "__t": F.xxhash64("text")}).groupBy("__id", "__t").agg(F.first(F.struct(*docs.columns)).alias("r"))
+    return left.join(twice, same, "left_anti").unionByName(once.select(*(F.col(f"r.`{c}`").alias(c) for c in docs.columns)))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

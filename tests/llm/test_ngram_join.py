@@ -62,6 +62,30 @@ def test_one_of_each_group_stays(spark):
     got = nj.keep_one(d)
     assert got.columns == d.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([1, 7, None, 8, None, 9], key=str)
-    assert nj.jaccard_links(d.limit(0)).count() == 0
+    assert nj.jaccard_links(d.limit(0)).count() == 0 and nj.keep_one(d.limit(0)).count() == 0
     with pytest.raises(ValueError):
         nj.jaccard_links(d, 0)
+
+
+def test_unlike_texts_of_one_id_are_decided_by_row(spark):
+    a, near, b, c = "a b c d e f g h", "a b c d e f g h i", "p q r s t u", "k l m n o"
+    rows = [(1, a, "x"), (5, near, "x"), (5, b, "x"), (5, b, "x"), (5, c, "y"), (6, c, "y"), (6, "", "y"), (1, near, "z"), (7, None, "y"), (7, None, "y"), (8, b, "x")]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id int, text string, t string, comp int")
+    got = nj.keep_one(d)
+    assert got.schema == d.schema
+    got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    kept_a = [x for x in got if x in ((1, a), (1, near))]
+    assert len(kept_a) == 1
+    assert sorted([x for x in got if x[0] != 1], key=str) == sorted([(5, b), (5, c), (6, ""), (7, None), (7, None)], key=str)
+
+
+def test_a_third_of_all_rows_is_one_text(spark, monkeypatch):
+    monkeypatch.setattr(nj, "max", lambda a, b: min(a, b) if a == 1000 else max(a, b), raising=False)
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(30))
+    hot = text()
+    rows = [(i, hot if i % 3 == 0 else text()) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in nj.jaccard_links(d).collect()}
+    assert all((got[i].n_similar, got[i].component_id) == ((199, 0) if i % 3 == 0 else (0, i)) for i in range(600))
+    assert {x.doc_id for x in nj.keep_one(d).collect()} == {0} | {i for i in range(600) if i % 3}
