@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns, map_batches, read
+from ..sources.tables import numbered
+from .common import doc_columns, map_batches, materialise, read
 from .tokens import encoder, tokenizer_path
 
 LONGEST = 1024
@@ -22,12 +23,14 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int = 0, tokens: bool = False) -> DataFrame:
-    """Power-of-two decomposition of whole documents; longest is a power of two.
+    """Power-of-two decomposition of whole documents, and equal lengths in one bucket; longest is a power of two.
 
     A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with tokens=True the ids.
-    A piece is a sequence by itself, so none crosses documents and none is padded; length is its bucket, and
-    write_buckets() stores each bucket together. Null or empty text: the end id alone. Repeated rows and null ids are
-    packed each for itself; other columns don't matter. sequence_id is unique: Spark's partition and row number.
+    A piece is a sequence by itself, so none crosses documents and none is padded. Rows are sorted into the buckets of
+    their lengths, the longest first, there by doc_id, start and ids, and sequence_id counts them in that order:
+    a bucket is a range of sequences, and partitioning doesn't change it. write_buckets() stores a folder for each.
+    Null or empty text: the end id alone. Repeated rows and null ids, which come first, are packed each for itself;
+    other columns don't matter, and an empty table has no pieces.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -60,8 +63,10 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
 
         return run
 
-    pieces = map_batches(doc_columns(docs), make, schema)
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    # written before they are sorted, as sorting by range reads its input twice and would tokenize twice
+    pieces = materialise(map_batches(doc_columns(docs), make, schema), "pieces")
+    order = [F.desc("length"), F.asc_nulls_first("doc_id"), F.asc("start"), F.asc("ids_crc32"), F.asc("doc_tokens")]
+    return numbered(pieces, order, "sequence_id").withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

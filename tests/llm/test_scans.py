@@ -166,6 +166,11 @@ def test_packing(docs):
         for r in rows:
             assert r.length & (r.length - 1) == 0 and r.length <= 1024 and r.doc_tokens == len(ids)
             assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    assert sorted(r.sequence_id for r in got) == list(range(len(got)))
+    in_order = [(-r.length, r.doc_id or -1, r.start) for r in sorted(got, key=lambda r: r.sequence_id)]
+    assert in_order == sorted(in_order)
+    again = pk.pack(docs.repartition(5), public_tokenizers.path(pk.TOKENIZER)).drop("ids")
+    assert sorted(map(str, again.collect())) == sorted(str(r) for r in pk.pack(docs.coalesce(1), public_tokenizers.path(pk.TOKENIZER)).collect())
     assert pk.lengths(2053) == [1024, 1024, 4, 1] and pk.lengths(1) == [1] and sum(pk.lengths(777)) == 777
     with pytest.raises(ValueError):
         pk.pack(docs, "x", longest=1000)
