@@ -69,9 +69,10 @@ def stats(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
         n_lines = np.array([len(x) for x in lines])
         dup = n_lines - np.array([len(set(x)) for x in lines])
         rep = _sums(repeat_words(h, owner), bound)
-        key = np.sort(mix(h + owner.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) & ~U64(0xFFFF) | owner.astype(np.uint64) & U64(0xFFFF)) if len(h) else h
-        new = np.concatenate(([True], key[1:] != key[:-1])) if len(h) else np.zeros(0, bool)
-        distinct = np.bincount((key[new] & U64(0xFFFF)).astype(np.int64), minlength=len(part))[: len(part)] if len(part) <= 0xFFFF else n
+        key = mix(h + owner.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) if len(h) else h
+        o = np.argsort(key)
+        new = np.concatenate(([True], key[o][1:] != key[o][:-1])) if len(h) else np.zeros(0, bool)
+        distinct = np.bincount(owner[o[new]], minlength=len(part))
         width = end - start
         has = np.diff(np.concatenate(([0], np.cumsum(_LUT["symbol"][raw], dtype=np.int64)))[np.stack((start, end))], axis=0)[0] > 0 if len(h) else np.zeros(0, bool)
         for k, v in zip(EXACT, (n, chars, count["symbol"], dup, rep)):

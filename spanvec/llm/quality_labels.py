@@ -24,7 +24,8 @@ LABELLERS = (
 )
 BITS = 16
 #: At most so many texts, chosen by a hash of doc_id, train the linear scorer; votes are counted over all texts.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 200_000
+#: A text of more than TRAIN_CHARS characters doesn't train; with rows this bounds what the driver holds to 80 million.
+TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
 
 
 def votes(x: np.ndarray) -> np.ndarray:
@@ -103,8 +104,11 @@ class Scorer:
         out = []
         for i, j in chunks(np.array([len(t) for t in texts], np.int64), 256 << 10):
             b, bound = hashed(texts[i:j])
-            c = np.concatenate(([0.0], np.cumsum(self.weight[b].sum(axis=1))))
-            out.append(self.shift + (c[bound[1:]] - c[bound[:-1]]) / np.maximum(np.diff(bound), 1))
+            n = np.diff(bound)
+            mean = np.zeros(len(n))
+            if len(b):  # each text's words are summed by themselves, so neighbours change no bit
+                mean[n > 0] = np.add.reduceat(self.weight[b].sum(axis=1), bound[:-1][n > 0]) / n[n > 0]
+            out.append(self.shift + mean)
         return 1 / (1 + np.exp(-np.concatenate(out))) if out else np.zeros(0)
 
 
@@ -150,6 +154,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tu
     # the hashes alone are ordered; then only about as many texts as are used leave their tasks
     can, order = d.where(F.col("text").isNotNull() & (F.length("text") <= chars)), F.xxhash64("doc_id")
     last = can.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    # a hash that very many rows share is that of one doc_id: of such rows those of the least texts train
     some = can.where(order <= F.lit(last if last is not None else 0)).orderBy(order, "doc_id", "text").limit(rows).collect()
     texts = [r.text.encode() for r in some]
     target = model.posterior(votes(stats(texts)[1])) if texts else np.zeros(0)
