@@ -90,6 +90,61 @@ def test_votes_and_label_model(spark):
     assert ql.classify(nothing, *ql.fit(nothing)).count() == 0
 
 
+def test_expectation_maximisation_is_that_of_single_texts():
+    r = np.random.default_rng(5)
+    v = r.choice(3, (60, len(ql.LABELLERS)), p=[0.3, 0.2, 0.5])
+    p, n = np.unique(ql.pattern(v), return_counts=True)
+    m = ql.expectation_maximisation(ql.unpattern(p), n.astype(float), rounds=7)
+    post = [min(max(0.5 + (sum(x == 2 for x in row) - 2 * sum(x == 0 for x in row)) / (2 * len(row)), 0.05), 0.95) for row in v.tolist()]
+    for _ in range(7):
+        prior = (sum(post) + 1) / (len(post) + 2)
+        table = []
+        for c in (0, 1):
+            own = [q if c else 1 - q for q in post]
+            each = [[sum(q for q, row in zip(own, v.tolist()) if row[k] == vote) + 0.5 for vote in range(3)] for k in range(v.shape[1])]
+            table.append([[x / sum(e) for x in e] for e in each])
+        post = []
+        for row in v.tolist():
+            good, bad = prior, 1 - prior
+            for k, x in enumerate(row):
+                good, bad = good * table[1][k][x], bad * table[0][k][x]
+            post.append(good / (good + bad))
+    assert abs(m.prior - prior) < 1e-12 and np.allclose(m.table, table, atol=1e-12) and np.allclose(m.posterior(v), post, atol=1e-9)
+
+
+def test_scorer_is_the_mean_of_words_and_neighbours_change_no_bit():
+    r = np.random.default_rng(6)
+    scorer = ql.Scorer(r.standard_normal(1 << ql.BITS), -0.3)
+    texts = [(t or "").encode() for t in ODD] + ["é b c d".encode()] * 3
+    got = scorer.score(texts)
+    for t, s in zip(texts, got):
+        per_word = [scorer.weight[ql.hashed([w])[0][0]].sum() for w in t.translate(ds.WS).split()]
+        assert s == pytest.approx(1 / (1 + np.exp(-(scorer.shift + (sum(per_word) / len(per_word) if per_word else 0)))), abs=1e-12)
+    for k in range(len(texts)):
+        assert scorer.score(texts[k:] + texts[:k])[0] == got[k] == scorer.score([texts[k]])[0]
+    assert (ds.stats([b""] * 70_000 + [b"a a b"])[1][-1] == ds.stats([b"a a b"])[1][0]).all()
+
+
+def test_forward_pass_step_by_step():
+    r = np.random.default_rng(7)
+    net = tx.Network(3)
+    x, ids = r.standard_normal((30, tx.N_FEATURES)).astype(np.float32), r.integers(0, 30, (5, tx.WINDOW))
+    p, H = {k: v.astype(np.float64) for k, v in net.p.items()}, tx.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for row, got in zip(ids, net.logits(x, ids)):
+        states = np.zeros((tx.WINDOW, 2 * H))
+        for half, d in enumerate("fb"):
+            h = np.zeros(H)
+            for t in range(tx.WINDOW) if d == "f" else reversed(range(tx.WINDOW)):
+                i, u = x[row[t]].astype(np.float64) @ p[f"x{d}"] + p[f"k{d}"], h @ p[f"u{d}"]
+                z, g = sig(i[:H] + u[:H]), sig(i[H : 2 * H] + u[H : 2 * H])
+                h = (1 - z) * np.tanh(i[2 * H :] + g * u[2 * H :]) + z * h
+                states[t, half * H : (half + 1) * H] = h
+        e = np.exp([(np.tanh(s @ p["a"]) @ p["v"])[0] for s in states])
+        pooled = sum(a * s for a, s in zip(e / e.sum(), states))
+        assert got == pytest.approx((pooled @ p["w"])[0] + p["c"][0], abs=1e-4)
+
+
 def test_gradient():
     r = np.random.default_rng(0)
     net = tx.Network(1)
@@ -140,6 +195,12 @@ def test_toxicity_windows_and_odd_texts(spark, model):
         assert model.score([" ".join(w).encode()])[0] > 0.5 > model.score([plain.encode()])[0]
     texts = [(t or "").encode() for t in ODD]
     assert np.allclose(model.score(texts), [model.score([t])[0] for t in texts], atol=1e-5)
+    words = "that the of and in to a stupid day was so good for all".split()
+    r = np.random.default_rng(2)
+    many = [" ".join(r.choice(words, r.integers(1, 400))).encode() for _ in range(40)]
+    alone = [model.score([t])[0] for t in many]
+    for k in (0, 1, 7):  # equal texts have equal scores, bit for bit, whatever stands beside them
+        assert model.score(many[k:] + texts + many[:k])[: len(many) - k].tolist() == alone[k:]
     kept = tx.without_toxic(fixture(spark), model)
     assert kept.columns == fixture(spark).columns and kept.count() == sum(r.score < 0.5 for r in got)
     none = tx.fit(fixture(spark), spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
