@@ -21,15 +21,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_TAB, U64, binaries, bucket_of, chunks, cuts_by, give_back, longs, mix, null_mask, packed, parts_for, powers, read, runs, text_bytes, unpacked
+from ..sources.tables import numbered
+from .common import BYTE_TAB, U64, binaries, bucket_of, chunks, cuts_by, give_back, longs, map_batches, materialise, mix, null_mask, packed, parts_for, powers, read, runs, text_bytes, unpacked
 
 LENGTH, SEED = 50, 24
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 CHUNK = 160 << 10  # bytes that are named at once, so that the arrays stay in the processor's cache
 PIECE = 1 << 20  # windows of a longer text that are handled at once
+#: Bytes of the first ranks of doubling_spans(), and bits of a place in a text.
+FIRST, PLACE = 16, 32
 _RANKS = "bucket long, block long, a binary, s binary, docs binary, counts binary"
 _REPLY = "block long, kind int, bucket long, flags binary, more binary"
 
@@ -298,9 +302,107 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     return _spans(docs, length, seed, finish, docs.schema)
 
 
+def _positions(docs: DataFrame, length: int) -> DataFrame:
+    """at (row and place in one number) and the first FIRST bytes, as two numbers in their order, of every place from which FIRST bytes are left in texts of length bytes or more."""
+
+    def run(batch: pa.RecordBatch):
+        rows = longs(batch.column("row")).tolist()
+        for row, t in zip(rows, binaries(batch.column("text"))):
+            if len(t) < length:
+                continue
+            b = np.frombuffer(t, np.uint8)
+            eight = np.zeros(len(b) - 7, np.uint64)
+            for k in range(8):
+                eight = eight << U64(8) | b[k : len(b) - 7 + k].astype(np.uint64)
+            word = (eight ^ U64(1 << 63)).view(np.int64)  # as signed numbers in the bytes' order
+            n = len(b) - FIRST + 1
+            for i in range(0, n, 1 << 20):
+                j = min(i + (1 << 20), n)
+                yield pa.RecordBatch.from_arrays([pa.array((row << PLACE) + np.arange(i, j)), pa.array(word[i:j]), pa.array(word[i + 8 : j + 8])], ["at", "a", "b"])
+
+    return map_batches(docs, lambda: run, "at long, a long, b long", rows=64)
+
+
+def _reranked(pairs: DataFrame) -> DataFrame:
+    """(at, rank) of pairs (at, a, b) that aren't alone: Spark sorts them by range, and a rank is the partition's number and the place of the first equal pair there, so ranks are in the order of the pairs."""
+    ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+
+    def run(batches):
+        base, seen, last = TaskContext.get().partitionId() << 40, 0, None  # last: the pair before, its rank, and its place in the text while it is alone
+        for t in batches:
+            a, b, at = (t.column(k).to_numpy() for k in ("a", "b", "at"))
+            if not len(a):
+                continue
+            new = np.concatenate(([last is None or last[0] != (a[0], b[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(a)) + seen, -1))
+            rank = np.where(first < 0, last[1] if last else 0, base + first)
+            alone = new & np.concatenate((new[1:], [True]))
+            out_at, out_rank = at[~alone], rank[~alone]
+            if last is not None and last[2] is not None and not new[0]:
+                out_at, out_rank = np.append(out_at, last[2]), np.append(out_rank, last[1])
+            last = (a[-1], b[-1]), rank[-1], (at[-1] if alone[-1] else None)
+            seen += len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(out_at), pa.array(out_rank)], ["at", "rank"])
+
+    return ordered.mapInArrow(run, "at long, rank long")
+
+
+def doubling_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """What repeated_spans() returns, by prefix doubling over every byte: no sampling and no hashes.
+
+    Ranks of the FIRST bytes at each place are sorted; then, at growing offsets, pairs of the ranks at a place and at the
+    offset behind it are, which makes ranks of twice the bytes, and of length bytes at last. A place whose rank no other
+    has is done and leaves. Null, empty and short texts, repeated rows and null ids are as in repeated_spans(). Every round
+    shuffles some 30 bytes for each byte that is still in question: see README for what that costs.
+    """
+    if length < FIRST:
+        raise ValueError(f"length must be at least {FIRST}")
+    d = materialise(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), [F.asc_nulls_last("doc_id")], "row"), "rows")
+    live = materialise(_reranked(_positions(d.where("doc_id is not null"), length)), "ranks")
+    n = FIRST
+    while n < length:
+        step = min(n, length - n)
+        behind = live.select((F.col("at") - step).alias("at"), F.col("rank").alias("b"))
+        live = materialise(_reranked(live.withColumnRenamed("rank", "a").join(behind, "at")), "ranks")
+        n += step
+    ids = d.select("row", "doc_id")
+    held = live.withColumn("row", F.shiftright("at", PLACE)).join(ids, "row")
+    least = held.groupBy("rank").agg(F.min("doc_id").alias("least"))
+    hits = held.join(least, "rank").where("least < doc_id").select("row", F.col("at").bitwiseAND(F.lit((1 << PLACE) - 1)).alias("p"))
+
+    def cut(key, table, found):
+        out: list[list] = [[], [], [], [], []]
+        for i, t in zip(table.column("doc_id").to_pylist(), binaries(table.column("text").combine_chunks())):
+            step = np.zeros(len(t) + 1, np.int64)
+            p = found.column("p").to_numpy()
+            step[p] += 1
+            np.add.at(step, p + length, -1)
+            gone = np.cumsum(step)[:-1] > 0
+            kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+            for col, v in zip(out, (i, len(t), int(gone.sum()), int(np.count_nonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)) == 1)), hashlib.sha256(kept).hexdigest())):
+                col.append(v)
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(),) * 4 + (pa.string(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return d.groupBy("row").cogroup(hits.groupBy("row")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_suffix_dedup": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS MATERIALIZED (SELECT r, doc_id, o, substr(x, 2 * o + 1, {2 * (999 + LENGTH)}) AS y FROM d, unnest(range(0, len(x) // 2 - {LENGTH - 1}, 1000)) AS t(o) WHERE doc_id IS NOT NULL),
+h AS MATERIALIZED (SELECT r, doc_id, o, p, hash(substr(y, 2 * p + 1, {2 * LENGTH})) AS h FROM c, unnest(range(0, least(1000, len(y) // 2 - {LENGTH - 1}))) AS t(p)),
+e AS MATERIALIZED (SELECT r, h.doc_id, o + p AS p, substr(y, 2 * p + 1, {2 * LENGTH}) AS k FROM h JOIN (SELECT h FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h) JOIN c USING (r, o)),
+s AS (SELECT r, p FROM (SELECT r, p, doc_id, min(doc_id) OVER (PARTITION BY k) AS least FROM e) WHERE least < doc_id),
+g AS (SELECT r, p, p > coalesce(lag(p) OVER (PARTITION BY r ORDER BY p) + {LENGTH}, -1) AS new FROM s),
+m AS MATERIALIZED (SELECT r, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT r, p, sum(new::INT) OVER (PARTITION BY r ORDER BY p) AS run FROM g) GROUP BY r, run),
+l AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS prev FROM m),
+k AS (SELECT l.r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM l JOIN d USING (r) GROUP BY l.r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+}

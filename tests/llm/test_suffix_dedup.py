@@ -67,3 +67,21 @@ def test_cut_texts_keep_their_columns(spark):
             t, s = dict(rows)[r.doc_id].encode(), spans[r.doc_id].spans
             assert r.text == sd._kept(t, [(x.start, x.stop) for x in s]).decode("utf-8", "ignore") and r.n_chars == len(r.text)
     assert sd.repeated_spans(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", [50, 16, 33])
+def test_doubling_over_every_byte(spark, length):
+    rows = corpus(5) + [(i, "hot passage of all of them, long enough to count as one " * 2) for i in range(300, 340)]
+    d = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, row string").repartition(3)
+    assert sorted(map(tuple, sd.doubling_spans(d, length).collect()), key=str) == brute(rows, length)
+    assert sd.doubling_spans(d.limit(0)).count() == 0
+
+
+def test_sql_is_brute_force():
+    import duckdb
+
+    rows = corpus(6)
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(c.execute(sd.ORACLE["op5_suffix_dedup"]).fetchall(), key=str) == brute(rows, 50)
