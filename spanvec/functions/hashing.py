@@ -50,5 +50,15 @@ def hash_embedding(text: Column, dim: int, seed: int = 0) -> Column:
 
 
 def file_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, bytes, sha256 of files up to 2 GB, read where they are hashed."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes, sha256 of files of any size, read in parts where they are hashed."""
+    from ..sources.storage import file_digest
+
+    found = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([file_digest(p) for p in b.column("path").to_pylist()], pa.string())], [*b.schema.names, "sha256"])
+
+    return found.mapInArrow(run, "path string, bytes long, sha256 string")

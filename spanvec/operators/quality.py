@@ -45,6 +45,14 @@ def gate(metrics: DataFrame, avg: float = 0.90, least: float = 0.70, tau: float
     return m.withColumn("passed", (F.col("avg_overlap") >= avg) & (F.col("min_overlap") >= least) & (F.col("avg_tau") >= tau))
 
 
+def report(gated: dict, detail: dict, avg: float = 0.90, least: float = 0.70, tau: float = 0.80) -> tuple[dict, str]:
+    """The gate's row with what failed, and the same in Markdown."""
+    failures = [f"{k} {gated[k]:.3f} < {t}" for k, t in (("avg_overlap", avg), ("min_overlap", least), ("avg_tau", tau)) if gated[k] is None or gated[k] < t]
+    summary = gated | detail | {"failures": failures}
+    lines = [f"# Fidelity of {detail.get('dataset', 'the index')}", "", *(f"- {k}: {v:.3f}" if isinstance(v, float) else f"- {k}: {v}" for k, v in summary.items() if k not in ("failures", "passed"))]
+    return summary, "\n".join([*lines, f"- passed: {summary['passed']} ({'; '.join(failures) or 'all thresholds are met'})", ""])
+
+
 def canary(base: DataFrame, candidate: DataFrame, queries: DataFrame, k: int, least: float = 0.7, avg: float = 0.8) -> DataFrame:
     """One row: do the candidate's hits agree with the base's? Two empty results agree. No queries is an error."""
     none = F.array().cast("array<bigint>")

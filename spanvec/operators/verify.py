@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import base64
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import file_digests
+from ..sources.storage import exists
 
 
 def bad_entry(size: Column, offset: Column, length: Column) -> Column:
@@ -24,13 +24,18 @@ def offset_violations(table: DataFrame) -> DataFrame:
 def digest_mismatches(spark: SparkSession, expected: DataFrame) -> DataFrame:
     """Of (path, sha256): the files that are missing or differ. The paths are a manifest's."""
     paths = [r.path for r in expected.select("path").distinct().collect()]
-    there = [p for p in paths if Path(p.removeprefix("file:")).exists()]
+    there = [p for p in paths if exists(p)]
     found = file_digests(spark, there) if there else spark.createDataFrame([], "path string, bytes long, sha256 string")
     short = F.regexp_replace("path", "^file:/*", "/")
     got = found.select(short.alias("__p"), F.col("sha256").alias("found"))
     return expected.withColumn("__p", short).join(got, "__p", "left").where("found is null or found <> sha256").drop("__p")
 
 
+def key_text(key: str) -> str:
+    """The base64 of a key, without the lines that PEM puts around it."""
+    return "".join(x.strip() for x in key.splitlines() if not x.startswith("-----"))
+
+
 def _jvm(spark: SparkSession):
     return spark.sparkContext._jvm
 
@@ -50,7 +55,7 @@ def new_keys(spark: SparkSession) -> tuple[str, str]:
 
 def sign(spark: SparkSession, data: bytes, private: str) -> str:
     j = _jvm(spark)
-    key = j.java.security.KeyFactory.getInstance("Ed25519").generatePrivate(j.java.security.spec.PKCS8EncodedKeySpec(base64.b64decode(private)))
+    key = j.java.security.KeyFactory.getInstance("Ed25519").generatePrivate(j.java.security.spec.PKCS8EncodedKeySpec(base64.b64decode(key_text(private))))
     s = j.java.security.Signature.getInstance("Ed25519")
     s.initSign(key)
     s.update(data)
@@ -59,7 +64,7 @@ def sign(spark: SparkSession, data: bytes, private: str) -> str:
 
 def signed_by(spark: SparkSession, data: bytes, signature: str, public: str) -> bool:
     j = _jvm(spark)
-    key = j.java.security.KeyFactory.getInstance("Ed25519").generatePublic(j.java.security.spec.X509EncodedKeySpec(base64.b64decode(public)))
+    key = j.java.security.KeyFactory.getInstance("Ed25519").generatePublic(j.java.security.spec.X509EncodedKeySpec(base64.b64decode(key_text(public))))
     s = j.java.security.Signature.getInstance("Ed25519")
     s.initVerify(key)
     s.update(data)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import exists
+
 
 def start(rows: DataFrame, folder: str, checkpoint: str):
     """Writes the streaming rows (shard, id, v, deleted) under folder: deltas by seq, tombstones by seq. A batch that runs again overwrites its own seq."""
@@ -24,7 +24,7 @@ def tiers(base: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     spark = base.sparkSession
     rows = base.select(F.lit(0).cast("long").alias("seq"), "shard", "id", "v")
     gone = spark.createDataFrame([], "id long")
-    if Path(f"{folder}/deltas").exists():
+    if exists(f"{folder}/deltas"):
         d = spark.read.parquet(f"{folder}/deltas").select(F.col("seq").cast("long").alias("seq"), "shard", "id", "v")
         rows = rows.unionByName(d)
         gone = spark.read.parquet(f"{folder}/tombstones").select("id").distinct()
