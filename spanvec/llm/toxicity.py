@@ -154,11 +154,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b, summed in one order for every row."""
-    out = a[..., :1] * b[0]
-    for k in range(1, len(b)):
-        out += a[..., k : k + 1] * b[k]
+def _dot(w: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """w.T @ columns, each column summed in the same order."""
+    out = w[0][:, None] * columns[0]
+    part = np.empty_like(out)
+    for k in range(1, len(w)):
+        np.multiply(w[k][:, None], columns[k], out=part)
+        out += part
     return out
 
 
@@ -172,17 +174,16 @@ class Network:
         for d in "fb":
             self.p |= {f"x{d}": g(N_FEATURES, 3 * HIDDEN), f"u{d}": g(HIDDEN, 3 * HIDDEN), f"k{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def logits(self, x: np.ndarray, ids: np.ndarray, keep: list | None = None, steady: bool = False) -> np.ndarray:
-        """Of windows of words with features x; keep collects what the gradient needs. steady: no bit of a window's logit depends on the windows beside it, as it may in the products of the linear algebra library."""
+    def logits(self, x: np.ndarray, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Of windows of words with features x; keep collects what the gradient needs."""
         n, p, H = len(ids), self.p, HIDDEN
-        dot = _dot if steady else np.matmul
         states = np.empty((WINDOW, n, 2 * H), np.float32)
         for k, d in enumerate("fb"):
-            table = dot(x, p[f"x{d}"]) + p[f"k{d}"]
+            table = x @ p[f"x{d}"] + p[f"k{d}"]
             h = np.zeros((n, H), np.float32)
             for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
                 i = table[ids[:, t]]
-                u = dot(h, p[f"u{d}"])
+                u = h @ p[f"u{d}"]
                 zr = _sigmoid(i[:, : 2 * H] + u[:, : 2 * H])
                 z, r = zr[:, :H], zr[:, H:]
                 m = np.tanh(i[:, 2 * H :] + r * u[:, 2 * H :])
@@ -191,16 +192,37 @@ class Network:
                     keep.append((d, t, h, z, r, m, u[:, 2 * H :]))
                 h = new
                 states[t, :, k * H : (k + 1) * H] = h
-        e = np.tanh(dot(states, p["a"]))
-        s = dot(e, p["v"])[..., 0]
+        e = np.tanh(states @ p["a"])
+        s = (e @ p["v"])[..., 0]
         s = np.exp(s - s.max(axis=0))
-        s /= np.add.accumulate(s)[-1]  # one after the other, as the products below
-        pooled = s[0][:, None] * states[0]
-        for t in range(1, WINDOW):
-            pooled += s[t][:, None] * states[t]
+        s /= s.sum(axis=0)
+        pooled = np.einsum("tn,tnh->nh", s, states)
         if keep is not None:
             keep.append((states, e, s, pooled))
-        return dot(pooled, p["w"])[:, 0] + p["c"][0]
+        return (pooled @ p["w"])[:, 0] + p["c"][0]
+
+    def steady(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """logits() with windows in columns, where no bit of a window's logit depends on the windows beside it, as it may in the products of the linear algebra library."""
+        n, p, H = len(ids), self.p, HIDDEN
+        at, words = np.ascontiguousarray(ids.T), np.ascontiguousarray(x.T)
+        states = np.empty((WINDOW, 2 * H, n), np.float32)
+        for k, d in enumerate("fb"):
+            table = np.ascontiguousarray((_dot(p[f"x{d}"], words) + p[f"k{d}"][:, None]).T)
+            h = np.zeros((H, n), np.float32)
+            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+                i = table[at[t]].T
+                u = _dot(p[f"u{d}"], h)
+                zr = _sigmoid(i[: 2 * H] + u[: 2 * H])
+                m = np.tanh(i[2 * H :] + zr[H:] * u[2 * H :])
+                h = m + zr[:H] * (h - m)
+                states[t, k * H : (k + 1) * H] = h
+        s = np.stack([_dot(p["v"], np.tanh(_dot(p["a"], states[t])))[0] for t in range(WINDOW)])
+        s = np.exp(s - s.max(axis=0))
+        total, pooled = s[0].copy(), s[0] * states[0]
+        for t in range(1, WINDOW):
+            total += s[t]
+            pooled += s[t] * states[t]
+        return _dot(p["w"], pooled / total)[0] + p["c"][0]
 
     def gradient(self, x: np.ndarray, ids: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         keep: list = []
@@ -249,7 +271,7 @@ class Model:
             w = Words.of(texts[i:j])
             x = features(w, self.word_odds, self.gram_odds)
             ids, first = window_ids(w)
-            logit = np.concatenate([self.net.logits(x, ids[k : k + 2048], steady=True) for k in range(0, len(ids), 2048)])
+            logit = np.concatenate([self.net.steady(x, ids[k : k + 2048]) for k in range(0, len(ids), 2048)])
             out.append(np.maximum.reduceat(logit, first[:-1]))
         return np.concatenate(out) if out else np.zeros(0)
 

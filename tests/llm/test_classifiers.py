@@ -131,7 +131,7 @@ def test_forward_pass_step_by_step():
     x, ids = r.standard_normal((30, tx.N_FEATURES)).astype(np.float32), r.integers(0, 30, (5, tx.WINDOW))
     p, H = {k: v.astype(np.float64) for k, v in net.p.items()}, tx.HIDDEN
     sig = lambda v: 1 / (1 + np.exp(-v))
-    for row, got in zip(ids, net.logits(x, ids)):
+    for row, got, same in zip(ids, net.logits(x, ids), net.steady(x, ids)):
         states = np.zeros((tx.WINDOW, 2 * H))
         for half, d in enumerate("fb"):
             h = np.zeros(H)
@@ -142,7 +142,7 @@ def test_forward_pass_step_by_step():
                 states[t, half * H : (half + 1) * H] = h
         e = np.exp([(np.tanh(s @ p["a"]) @ p["v"])[0] for s in states])
         pooled = sum(a * s for a, s in zip(e / e.sum(), states))
-        assert got == pytest.approx((pooled @ p["w"])[0] + p["c"][0], abs=1e-4)
+        assert got == pytest.approx((pooled @ p["w"])[0] + p["c"][0], abs=1e-4) == same
 
 
 def test_gradient():
