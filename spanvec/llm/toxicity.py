@@ -388,7 +388,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose text scores 0.5 or more; all columns stay."""
+    """docs without the rows whose text scores 0.5 or more; all columns stay. Null and empty texts, repeated rows and rows with a null doc_id are scored each for itself."""
     b = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):

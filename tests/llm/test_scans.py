@@ -64,6 +64,23 @@ def test_decontaminate_is_brute_force(spark, docs):
     assert dc.decontaminate(docs.limit(0), none).count() == 0
 
 
+def test_long_texts_are_scanned_and_packed_whole():
+    item = "one two three four five six seven eight nine ten eleven"
+    w = dc.Windows([("a", item.encode()), ("b", b"short note")], 10)
+    plain = "one two three short four note five " * 40_000
+    for where in (0, 500_000, len(plain)):
+        text = f"{plain[:where]} x {item.upper()}, short-note! {plain[where:]}".encode()
+        size, _, first, state = w.scan([b"", text, b"short"])
+        at = len(words(plain[:where])) + 1
+        assert size.tolist() == [0, len(words(text.decode())), 1]
+        assert sorted(zip(first.tolist(), w.items_of(state))) == [(at, ("a",)), (at + 1, ("a",)), (at + 11, ("b",))]
+    path = public_tokenizers.path(pk.TOKENIZER)
+    tok, enc = Tokenizer.from_file(path), encoder(path, "space")
+    text = "Né wörd, of \n\n many. 日本 " * 8000
+    ids = tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == ids and sum(pk.lengths(len(ids))) == len(ids) > 100_000
+
+
 def test_licenses(docs):
     got = {r.doc_id: r for r in lc.scan_licenses(docs, spans=True).collect()}
     for i, t in ODD:
