@@ -12,27 +12,27 @@ from spanvec.llm.tokens import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, trained on the labels that aren't held out, scores below 0.5."""
+    """Documents that the network, trained on the labels that aren't held out, scores below 0.5. Null and empty texts, repeated rows and null ids are scored each for itself."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id."""
+    """One document of each group of near copies, that of the least doc_id. Unlike texts of one doc_id are decided by their own groups; texts without words and rows with a null doc_id stay."""
     return ngram_join.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 50 bytes or more that an earlier one has."""
+    """All documents, without the passages of 50 bytes or more that an earlier one has. Rows of one doc_id or a null one don't cut each other; null texts stay null."""
     return suffix_dedup.remove_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark. Null and empty texts stay; each row is decided for itself."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths."""
+    """Pieces of power-of-two lengths in buckets. Null and empty texts are the end id alone; each row is packed for itself."""
     return packing.pack(docs, tokenizer_path(packing.TOKENIZER))
 
 
