@@ -136,8 +136,8 @@ def test_published_layout(spark, tmp_path):
 
 def test_published_packset(spark, tmp_path):
     s, t = f"{tmp_path}/set", str(tmp_path)
-    api.build_packset_base(rows(spark, (0, "hello v0"), (1, "paris is france"), (2, "delete me")), s, lists=2)
-    api.build_delta(s, rows(spark, (0, "hello v1"), (7, "delta add")), [2], f"{t}/d1", lists=2)
+    api.build_packset_base(rows(spark, (0, "hello v0"), (1, "paris is france"), (2, "delete me")), s, lists=1)
+    api.build_delta(s, rows(spark, (0, "hello v1"), (7, "delta add")), [2], f"{t}/d1", lists=1)
     api.promote_delta(s, f"{t}/d1")
     api.verify_pack(s, deep=True)
     m = main(["publish", s, f"{t}/out"], spark)
