@@ -176,7 +176,8 @@ def _spans(docs: DataFrame, length: int, seed: int, finish, schema: str) -> Data
     """finish(block table, row order, texts, spans of each text) -> table, for each block."""
     _, size = text_bytes(docs)
     blocks, buckets = parts_for(size, BLOCK_BYTES), parts_for(size, BUCKET_BYTES)
-    parts = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    # as many partitions as blocks and buckets, so that what a task reads doesn't grow with the input
+    parts = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "__block")
     grouped = parts.groupBy("__block")
 
     def first(key, table):
@@ -243,9 +244,9 @@ def _spans(docs: DataFrame, length: int, seed: int, finish, schema: str) -> Data
         return finish(table, b.order, b.texts, spans)
 
     ranks = grouped.applyInArrow(first, _RANKS)
-    said = ranks.groupBy("bucket").applyInArrow(_rerank, _REPLY)
+    said = ranks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_rerank, _REPLY)
     longer = grouped.cogroup(said.groupBy("block")).applyInArrow(second, _RANKS)
-    both = said.unionByName(longer.groupBy("bucket").applyInArrow(_rerank, _REPLY))
+    both = said.unionByName(longer.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_rerank, _REPLY))
     return grouped.cogroup(both.groupBy("block")).applyInArrow(last, schema)
 
 
