@@ -129,12 +129,13 @@ class Pack:
             return texts.select(F.col("qid").cast("long").alias("qid"), normalize(v).alias("q"))
         return texts.select(F.col("qid").cast("long").alias("qid"), self.embed(F.col("text")).alias("q"))
 
-    def hits(self, queries: DataFrame, k: int = 10, probe: int | None = 8, max_scan: int = 0) -> DataFrame:
-        """qid, shard, id, score, rn. probe lists of each shard are read, None reads everything."""
+    def hits(self, queries: DataFrame, k: int = 10, probe: int | None = 8, max_scan: int = 0, where: str | Column | None = None) -> DataFrame:
+        """qid, shard, id, score, rn. probe lists of each shard are read, None reads everything. where is a condition on the metadata, which is met before the k best are taken."""
         k = search.check_k(k)
+        vectors = self.vectors if where is None else search.where_meta(self.vectors, self.meta, where, self.meta_keys).select(*self.vectors.columns)
         if probe is None:
-            return search.exact_topk(self.vectors, queries, k)
-        return search.ivf_topk(self.vectors, self.centroids, queries, k, probe, max_scan)
+            return search.exact_topk(vectors, queries, k)
+        return search.ivf_topk(vectors, self.centroids, queries, k, probe, max_scan)
 
     def recall(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """probe, recall: the share of the exact best that hits() finds by the number of lists probed in each shard. search.least_probe() chooses from it."""
@@ -142,13 +143,13 @@ class Pack:
         every = max(s["n_lists"] for s in self.manifest["shards"])
         return search.probe_recall(search.exact_topk(self.vectors, q, search.check_k(k)), self.vectors, search.coarse(q, self.centroids, every))
 
-    def search(self, texts: DataFrame, k: int = 10, probe: int | None = 8) -> DataFrame:
+    def search(self, texts: DataFrame, k: int = 10, probe: int | None = 8, where: str | Column | None = None) -> DataFrame:
         """Hits of (qid, text) or (qid, vector) with their metadata."""
-        return search.with_meta(self.hits(self.queries(texts), k, probe), self.meta, self.meta_keys)
+        return search.with_meta(self.hits(self.queries(texts), k, probe, where=where), self.meta, self.meta_keys)
 
-    def search_text(self, text: str, k: int = 5, probe: int | None = 8) -> list[dict]:
+    def search_text(self, text: str, k: int = 5, probe: int | None = 8, where: str | Column | None = None) -> list[dict]:
         q = self.spark.createDataFrame([(0, text)], "qid long, text string")
-        return [r.asDict() for r in self.search(q, k, probe).orderBy("rn").collect()]
+        return [r.asDict() for r in self.search(q, k, probe, where).orderBy("rn").collect()]
 
     def export(self, path: str, shard: int = 0) -> dict:
         """The shard as one binary file."""

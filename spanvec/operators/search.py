@@ -380,6 +380,11 @@ def with_meta(hits: DataFrame, meta: DataFrame, keys: tuple[str, ...] = ("shard"
     return hits.join(meta, list(keys), "left")
 
 
+def where_meta(vectors: DataFrame, meta: DataFrame, condition: str | Column, keys: tuple[str, ...] = ("shard", "id")) -> DataFrame:
+    """vectors of the ids whose metadata meets condition: what is filtered out takes no place among the k best. A vector without metadata isn't there."""
+    return vectors.join(meta.where(condition).select(*keys).distinct(), list(keys), "left_semi")
+
+
 def check_k(k: int, cap: int | None = None) -> int:
     """k, which is positive and, where a caller has a cap, at most that: more is an error, never fewer rows than were asked for."""
     if k < 1:

@@ -219,6 +219,12 @@ def meta_left_join(spark, sf, which="doc_id % 4 <> 1"):
     return search.with_meta(hits, meta, ("id",))
 
 
+@_add("filtered_search", f"WITH {d.V.replace('v AS MATERIALIZED', 'w AS MATERIALIZED').replace('FROM u),', 'FROM u), v AS MATERIALIZED (SELECT w.* FROM w WHERE id IN (SELECT doc_id FROM documents WHERE n_chars >= 600)),', 1)}, {d.exact()} {_HITS} exact")
+def filtered_search(spark, sf):
+    meta = d.documents(spark, sf).select(F.col("doc_id").alias("id"), "n_chars")
+    return _hits(search.exact_topk(search.where_meta(d.vectors(spark, sf), meta, "n_chars >= 600", ("id",)), d.queries(spark, sf), d.K))
+
+
 @_add("shard_stats", "SELECT (vec_id % 3)::BIGINT AS shard, count(*) AS n_vectors, min(vec_id) AS id_min, max(vec_id) AS id_max FROM embeddings GROUP BY 1")
 def shard_stats(spark, sf):
     return build.shard_stats(d.vectors(spark, sf).select("id", "shard"))

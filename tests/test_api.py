@@ -109,8 +109,10 @@ def test_published_layout(spark, tmp_path):
     api.verify_pack(f"{tmp_path}/files", deep=True)
     i = api.inspect_pack(spark, f"{tmp_path}/files").orderBy("seq").collect()
     assert [(r.n_vectors, r.dim, r.magic) for r in i] == [(170, 64, packfile.MAGIC), (130, 64, packfile.MAGIC)] and i[0].bytes == (tmp_path / "files" / i[0].file).stat().st_size
-    plan = a.hits(a.queries(q.limit(1)), 5, 1)
-    assert plan.count() == 5
+    assert a.hits(a.queries(q.limit(1)), 5, 1).count() == 5
+    odd = [r["id"] for r in b.search_text("text 7", 5, None, where="text LIKE '%1'")]
+    assert len(odd) == 5 and all(x // 3 % 10 == 1 for x in odd)
+    assert odd == [r["id"] for r in a.search_text("text 7", 5, 4, where="get_json_object(meta, '$.text') LIKE '%1'")]
     with pytest.raises(ValueError, match="exists"):
         api.build_pack(many, f"{tmp_path}/files", layout="files")
     # a folder without a manifest, and what isn't whole
