@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 _ARROW = {"s3a": "s3", "s3n": "s3"}
 #: Bytes of files that the driver hashes by itself rather than in tasks.
 DRIVER_BYTES = 64 << 20
+_from_uri = pafs.FileSystem.from_uri
 _MADE: list[str] = []
 _ROOTS: list[str] = []
+_OWNER = os.getpid()  # a fork has the lists too, but deletes nothing
 
 
 def local(path: str) -> str | None:
@@ -41,7 +43,7 @@ def arrow(path: str) -> tuple[pafs.FileSystem, str]:
     if where is not None:
         return pafs.LocalFileSystem(), where
     scheme, _, rest = path.partition("://")
-    return pafs.FileSystem.from_uri(f"{_ARROW.get(scheme, scheme)}://{rest}")
+    return _from_uri(f"{_ARROW.get(scheme, scheme)}://{rest}")
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -190,9 +192,9 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spanvec-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        _ROOTS.append(root)
+        if not _ROOTS:  # the setting itself can't be made in a running session
+            _ROOTS.append(f"file://{tempfile.mkdtemp(prefix='spanvec-')}")
+        root = _ROOTS[0]
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     _MADE.append(path)
     return path
@@ -200,7 +202,7 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 def release() -> None:
     """Deletes every folder of shared_dir(); results that are still to be read from them are lost. It runs when the program ends."""
-    while _MADE or _ROOTS:
+    while os.getpid() == _OWNER and (_MADE or _ROOTS):
         path = _MADE.pop() if _MADE else _ROOTS.pop()
         try:
             if local(path) is not None or SparkSession.getActiveSession():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanvec.functions import hashing, texts, vectors
 from spanvec.operators import build, quality, registry, search, verify, versions
-from spanvec.sources import packfile, tables
+from spanvec.sources import packfile, storage, tables
 from spanvec.streaming import ingest
 
 HAND = [(0, 100, [1.0, 0.0, 0.0, 0.0]), (0, 101, [0.9, 0.1, 0.0, 0.0]), (1, 200, [0.0, 1.0, 0.0, 0.0])]
@@ -236,6 +236,74 @@ def test_digests_and_signatures(spark, tmp_path):
     assert verify.diagnose(spark)["spark"]
 
 
+def test_shared_folders_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_MADE", [])
+    monkeypatch.setattr(storage, "_ROOTS", [])
+    t = storage.materialise(spark.range(9), "x")
+    (path,) = storage._MADE
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and t.count() == 9
+    with monkeypatch.context() as m:
+        m.setattr(storage, "_OWNER", -1)
+        storage.release()
+        assert storage.exists(path)
+    storage.release()
+    assert not storage.exists(path) and not storage._MADE
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "local-cluster[3,2,1024]"
+
+    monkeypatch.setattr(storage, "_MADE", [])
+    monkeypatch.setattr(storage, "_ROOTS", [])
+    for master in ("local-cluster[3,2,1024]", "yarn", "spark://host:7077"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_dir(Session, "x")
+    Session.sparkContext.master = "local[2]"
+    a, b = storage.shared_dir(Session, "x"), storage.shared_dir(Session, "x")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0] and storage.exists(a.rsplit("/", 1)[0])
+    storage.release()
+    assert not storage.exists(a.rsplit("/", 1)[0])
+
+
+def test_storage(spark, tmp_path):
+    storage.write_bytes(f"{tmp_path}/a/b.txt", b"one")
+    storage.write_bytes(f"{tmp_path}/a/b.txt", b"two")
+    (tmp_path / "a" / "_SUCCESS").write_text("")
+    want = [("b.txt", 3)]
+    assert storage.files(f"{tmp_path}/a") == want and storage.names(f"file://{tmp_path}/a", ".txt") == ["b.txt"] and storage.names(f"{tmp_path}/none") == []
+    assert storage.read_bytes(storage.qualified(spark, f"{tmp_path}/a/b.txt")) == b"two"
+    one = storage.folder_digest(f"{tmp_path}/a")
+    storage.copy(f"{tmp_path}/a", f"{tmp_path}/c")
+    assert storage.folder_digest(f"file:{tmp_path}/c") == one
+    limit, storage.DRIVER_BYTES = storage.DRIVER_BYTES, 0
+    try:
+        assert storage.folder_digest(f"{tmp_path}/c") == one  # in tasks
+    finally:
+        storage.DRIVER_BYTES = limit
+    storage.delete(f"{tmp_path}/c")
+    assert not storage.exists(f"{tmp_path}/c")
+
+
+def test_other_file_systems_go_through_hadoop(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "local", lambda path: None)
+    root = f"file://{tmp_path}"
+    storage.write_bytes(f"{root}/a/b.txt", b"one")
+    storage.write_bytes(f"{root}/a/b.txt", b"two")
+    assert storage.read_bytes(f"{root}/a/b.txt") == b"two" and storage.files(f"{root}/a") == [("b.txt", 3)] and "b.txt" in storage.names(f"{root}/a")
+    storage.copy(f"{root}/a", f"{root}/c")
+    assert storage.exists(f"{root}/c/b.txt")
+    monkeypatch.setattr(storage, "_from_uri", lambda uri: uri)  # a bucket is looked up over the network
+    assert storage.arrow("s3a://bucket/x") == "s3://bucket/x" and storage.arrow("hdfs://host/x") == "hdfs://host/x"
+    storage.delete(f"{root}/c")
+    assert not storage.exists(f"{root}/c")
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id,text\n0,hello\n1,paris is france\n")
     df = tables.load(spark, f"{tmp_path}/t.csv")
