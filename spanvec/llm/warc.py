@@ -20,11 +20,15 @@ from .common import arrow, map_batches, materialise, qualified, read, shared_dir
 REVISIT_BYTES = 1000
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 32 << 20
+#: Records are handed on once their blocks hold so many bytes.
+BATCH_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = (
     "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, content_type string, "
     "payload_digest string, block_bytes long, payload_bytes long, payload_sha1 string, page_id long, page_null boolean, stated_bytes long"
 )
+#: What a record holds besides, by read_archives(blocks=True).
+_CONTENT = "headers array<struct<name:string,value:string>>, block binary"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -180,22 +184,37 @@ def write_archives(pages: DataFrame, path: str, date: str | None = None, revisit
     return materialise(ready.mapInArrow(write, "name string, captures long, bytes long"), "archives")
 
 
-def read_archives(manifest: DataFrame, path: str) -> DataFrame:
-    """A row for each record of the manifest's archives, payloads digested where they are read."""
+def read_archives(manifest: DataFrame, path: str, blocks: bool = False) -> DataFrame:
+    """A row for each record of the manifest's archives, payloads digested where they are read.
+
+    With blocks=True a record also has all its headers, in their order, and its whole block, so that assemble() nests
+    whole records and payloads() gives back what was written; without, its block isn't moved.
+    """
     path = qualified(manifest.sparkSession, path)
 
     def run(batch: pa.RecordBatch):
         fs, where = arrow(path)
         types = [pa.string(), pa.string(), pa.list_(pa.string())] + [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.int64(), pa.bool_(), pa.int64()]
         names = [x.split()[0] for x in _RECORD.split(", ")]
+        if blocks:
+            types += [pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary()]
+            names += ["headers", "block"]
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         for name in batch.column("name").to_pylist():
             with fs.open_input_stream(f"{where}/{name}", compression=None) as f:
                 data = f.read()
-            rows = [_row(h, b) for h, b in parse(data)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            rows, held = [], 0
+            for h, b in parse(data):
+                rows.append((*_row(h, b), [{"name": k, "value": v} for k, v in h], b) if blocks else _row(h, b))
+                held += len(b) if blocks else 0
+                if held >= BATCH_BYTES:
+                    yield give(rows)
+                    rows, held = [], 0
+            if rows:
+                yield give(rows)
 
     n = max(1, manifest.count())
-    return map_batches(manifest.select("name").repartition(n), lambda: run, _RECORD)
+    return map_batches(manifest.select("name").repartition(n), lambda: run, f"{_RECORD}, {_CONTENT}" if blocks else _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -221,19 +240,35 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(nested: DataFrame) -> DataFrame:
-    """The digest of assembled captures: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """The digest of assembled captures: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Bytes and digest are those of the payload that was read; a revisit's payload is that of the response it refers to.
+    Where the archives lack that response, they are what the revisit and its metadata state.
+    """
     c = nested.select(
-        F.col("metadata.page_id").alias("page_id"), "main_id", F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to"),
-        F.when(F.col("main.type") == "response", F.col("main.payload_bytes")).otherwise(F.col("metadata.stated_bytes")).alias("payload_bytes"),
-        F.when(F.col("main.type") == "response", F.col("main.payload_sha1")).otherwise(F.regexp_replace("main.payload_digest", "^sha1:", "")).alias("payload_digest"),
+        F.col("metadata.page_id").alias("page_id"), "main_id", F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to"), F.col("main.payload_bytes").alias("payload_bytes"),
+        F.col("main.payload_sha1").alias("payload_digest"), F.col("metadata.stated_bytes").alias("stated_bytes"), F.regexp_replace("main.payload_digest", "^sha1:", "").alias("stated_digest"),
     )
-    held = c.where("record_type = 'response'").select(F.col("main_id").alias("held_id"), F.col("page_id").alias("refers_to"))
+    held = c.where("record_type = 'response'").select(F.col("main_id").alias("held_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("held_bytes"), F.col("payload_digest").alias("held_digest"))
     plain = c.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
-    back = c.where("record_type = 'revisit'").join(held, F.col("to") == F.col("held_id"), "left").drop("held_id")
+    back = c.where("record_type = 'revisit'").join(held, F.col("to") == F.col("held_id"), "left").withColumns({"payload_bytes": F.coalesce("held_bytes", "stated_bytes"), "payload_digest": F.coalesce("held_digest", "stated_digest")})
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return plain.select(*cols).unionByName(back.select(*cols))
 
 
+def payloads(nested: DataFrame) -> DataFrame:
+    """What captures assembled from records with blocks hold: page_id, main_id, uri and the whole payload, a revisit's from the response it refers to, or null where the archives lack that."""
+    block = F.col("main.block")
+    head = F.locate("\r\n\r\n", F.decode(block, "ISO-8859-1"))  # a character a byte
+    http = F.coalesce(F.col("main.content_type"), F.lit("")).startswith("application/http")
+    payload = F.when(~http, block).when(head > 0, F.substring(block, head + 4, F.octet_length(block))).otherwise(F.lit("").cast("binary"))
+    c = nested.select(F.col("metadata.page_id").alias("page_id"), "main_id", F.col("main.uri").alias("uri"), F.col("main.type").alias("type"), F.col("main.refers_to").alias("to"), payload.alias("payload"))
+    plain, back = c.where("type = 'response'"), c.where("type = 'revisit'").drop("payload")
+    held = plain.select(F.col("main_id").alias("held_id"), "payload")
+    cols = ["page_id", "main_id", "uri", "payload"]
+    return plain.select(*cols).unionByName(back.join(held, F.col("to") == F.col("held_id"), "left").select(*cols))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     # the records are small without their payloads, and the joins read them several times

@@ -67,3 +67,32 @@ def test_indirect_and_foreign_records(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     man = warc.write_archives(empty, f"{tmp_path}/none")
     assert warc.captures(warc.assemble(warc.read_archives(man, f"{tmp_path}/none"))).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 8 << 20])
+def test_whole_records_and_payloads_come_back(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(warc, "BATCH_BYTES", size)
+    man = warc.write_archives(spark.createDataFrame(PAGES, "page_id long, url string, html string"), f"file://{tmp_path}/w", archive_bytes=1500)
+    records = warc.read_archives(man, f"file://{tmp_path}/w", blocks=True)
+    stored = [r for f in (tmp_path / "w").glob("*.gz") for r in warc.parse(f.read_bytes())]
+    assert sorted(([(x.name, x.value) for x in r.headers], bytes(r.block)) for r in records.collect()) == sorted(stored)
+    nested = warc.assemble(records)
+    assert all(bytes(r.request.block).startswith(b"GET ") and b"page-id: " in bytes(r.metadata.block) for r in nested.collect())
+    got = sorted(((r.page_id, bytes(r.payload)) for r in warc.payloads(nested).collect()), key=str)
+    assert got == sorted(((page, (html or "").encode()) for page, _, html in PAGES), key=str)
+
+
+def test_a_revisit_has_the_payload_that_was_read(spark):
+    def rec(kind, own, block, *more):
+        head = [("WARC-Type", kind), ("WARC-Record-ID", own), *more]
+        return warc._row(head, block)
+
+    http, digest = ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:stated")
+    meta = lambda own, to, page: rec("metadata", own, f"page-id: {page}\r\npayload-bytes: 77".encode(), ("WARC-Concurrent-To", to))
+    rows = [
+        rec("response", "r", b"HTTP/1.1 200 OK\r\n\r\nbody", http, digest), meta("m", "r", 9), rec("revisit", "v", b"HTTP/1.1 200 OK\r\n\r\n", http, digest, ("WARC-Refers-To", "r")), meta("n", "v", 4),
+        rec("revisit", "u", b"HTTP/1.1 200 OK\r\n\r\n", http, digest, ("WARC-Refers-To", "elsewhere")), meta("o", "u", 5),
+    ]
+    sha = hashlib.sha1(b"body").hexdigest()
+    got = {tuple(r) for r in warc.captures(warc.assemble(spark.createDataFrame(rows, warc._RECORD))).collect()}
+    assert got == {(9, 4, sha, "response", None), (4, 4, sha, "revisit", 9), (5, 77, "stated", "revisit", None)}
