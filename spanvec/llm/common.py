@@ -135,8 +135,18 @@ def words_of(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray,
     return t, start, end, h, np.searchsorted(start, bounds)
 
 
-def parts_for(total_bytes: int, each: int, least: int = 1) -> int:
-    return max(least, -(-int(total_bytes) // each))
+def parts_for(total_bytes: int, each: float, least: int = 1) -> int:
+    return max(least, int(-(-int(total_bytes) // each)))
+
+
+#: From so many blocks on, blocks and buckets grow with the input, up to so many times their bytes.
+PARTS, WIDEST = 256, 4
+
+
+def widened(total_bytes: int, block: int, *others: int) -> list[int]:
+    """Bytes of a block, and of its buckets. Blocks send each bucket a record, so with fixed sizes records, and the pieces of a shuffle, would grow with the square of the input."""
+    k = min(WIDEST, max(1.0, total_bytes / (block * PARTS)))
+    return [int(k * x) for x in (block, *others)]
 
 
 def text_bytes(docs: DataFrame) -> tuple[int, int]:

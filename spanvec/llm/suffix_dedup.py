@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import numbered
-from .common import BYTE_TAB, U64, binaries, bucket_of, chunks, cuts_by, give_back, longs, map_batches, materialise, mix, null_mask, packed, parts_for, powers, read, runs, text_bytes, unpacked
+from .common import BYTE_TAB, U64, binaries, bucket_of, chunks, cuts_by, give_back, longs, map_batches, materialise, mix, null_mask, packed, parts_for, powers, read, runs, text_bytes, unpacked, widened
 
 LENGTH, SEED = 50, 24
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
@@ -175,7 +175,7 @@ def _flags(replies: pa.Table, kind: int, bounds: np.ndarray) -> tuple[np.ndarray
 def _spans(docs: DataFrame, length: int, seed: int, finish, schema: str) -> DataFrame:
     """finish(block table, row order, texts, spans of each text) -> table, for each block."""
     _, size = text_bytes(docs)
-    blocks, buckets = parts_for(size, BLOCK_BYTES), parts_for(size, BUCKET_BYTES)
+    blocks, buckets = (parts_for(size, x) for x in widened(size, BLOCK_BYTES, BUCKET_BYTES))
     # as many partitions as blocks and buckets, so that what a task reads doesn't grow with the input
     parts = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "__block")
     grouped = parts.groupBy("__block")
@@ -222,13 +222,22 @@ def _spans(docs: DataFrame, length: int, seed: int, finish, schema: str) -> Data
             some = np.bincount(owner, hit, len(seg)) > 0
             inst = np.flatnonzero(~whole & (place[b.which] >= 0))
             inst = inst[some[place[b.which[inst]]]]
-            for i in inst.tolist():
-                k = base[place[b.which[i]]]
-                e = np.diff(np.concatenate(([0], hit[k : k + b.size[i]].astype(np.int8), [0])))
-                x, y = np.flatnonzero(e == 1), np.flatnonzero(e == -1)
-                rows = np.append(rows, np.full(len(x), b.row[i]))
-                begin = np.append(begin, b.at[i] + x)
-                end = np.append(end, b.at[i] + y + length - 1)
+            found = [(rows, begin, end)]
+            for i, j in chunks(b.size[inst], PIECE):
+                # the windows of these segments in one array, a gap of one behind each
+                some, n = inst[i:j], b.size[inst[i:j]]
+                stop = np.cumsum(n + 1)
+                start = stop - n - 1
+                own = np.repeat(np.arange(len(some)), n)
+                step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                flat = np.zeros(int(stop[-1]) + 1, np.int8)
+                flat[1 + start[own] + step] = hit[base[place[b.which[some]]][own] + step]
+                edge = np.diff(flat)
+                x, y = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                k = np.searchsorted(stop, x, side="right")
+                at = b.at[some[k]] - start[k]
+                found.append((b.row[some[k]], at + x, at + y + length - 1))
+            rows, begin, end = (np.concatenate(c) for c in zip(*found))
         o = np.lexsort((begin, rows))
         rows, begin, end = rows[o], begin[o], end[o]
         bound = np.searchsorted(rows, np.arange(len(b.texts) + 1))

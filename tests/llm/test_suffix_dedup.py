@@ -85,3 +85,16 @@ def test_sql_is_brute_force():
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert sorted(c.execute(sd.ORACLE["op5_suffix_dedup"]).fetchall(), key=str) == brute(rows, 50)
+
+
+def test_blocks_widen_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 600)
+    monkeypatch.setattr("spanvec.llm.common.PARTS", 8, raising=False)
+    rows = corpus(7)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len((t or "").encode()) for _, t in rows)
+    got = sd.repeated_spans(d)
+    # a record for each block and bucket: a quarter of each, where there are many
+    assert size > 300 * 8 * 4 and got.rdd.getNumPartitions() == -(-size // 1200)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
