@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, give_back, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, runs, text_bytes, words_of
+from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, give_back, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, runs, text_bytes, widened, words_of
 
 PERCENT = 60
 TILE = 2048
@@ -358,7 +358,7 @@ def _compare(percent: int):
 def _linked(docs: DataFrame, percent: int) -> DataFrame:
     """(h, n, links, root) of each class in each tile where it has links."""
     _, size = text_bytes(docs)
-    blocks, buckets, heaps = (parts_for(size, x) for x in (BLOCK_BYTES, BUCKET_BYTES, POST_BYTES))
+    blocks, buckets, heaps, tasks = (parts_for(size, x) for x in (*widened(size, BLOCK_BYTES, BUCKET_BYTES), POST_BYTES, BUCKET_BYTES / 4))
     block = lambda: F.pmod(F.col("h"), F.lit(blocks))
     grouped = _sets(docs).withColumn("block", block()).groupBy("block")
 
@@ -440,7 +440,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     found = found.groupBy("m", "h", "n", "nm", "need").agg(F.sum("cnt").alias("cnt")).where("cnt >= need")
     both = F.when(F.col("need") > 0, F.array(F.struct("h", "n"), F.struct(F.col("m").alias("h"), F.col("nm").alias("n")))).otherwise(F.array(F.struct("h", "n")))
     named = found.select("m", F.explode(both).alias("r")).select("m", "r.h", "r.n").distinct()
-    task = F.pmod(F.xxhash64("m", "a", "b"), F.lit(4 * buckets)).alias("task")
+    task = F.pmod(F.xxhash64("m", "a", "b"), F.lit(tasks)).alias("task")
     place = "m long, a long, b long, h long, n long, side long"
     maps = grouped.cogroup(tiled(named)).applyInArrow(deal([pa.binary()], ["map"], with_map), f"{place}, map binary")
     likely = maps.groupBy(task).applyInArrow(_sift(percent), "m long, h long, n long").distinct()

@@ -89,3 +89,20 @@ def test_a_third_of_all_rows_is_one_text(spark, monkeypatch):
     got = {x.doc_id: x for x in nj.jaccard_links(d).collect()}
     assert all((got[i].n_similar, got[i].component_id) == ((199, 0) if i % 3 == 0 else (0, i)) for i in range(600))
     assert {x.doc_id for x in nj.keep_one(d).collect()} == {0} | {i for i in range(600) if i % 3}
+
+
+def test_blocks_widen_with_the_input(spark, monkeypatch):
+    from spanvec.llm import common
+
+    for k, v in (("BLOCK_BYTES", 300), ("BUCKET_BYTES", 600), ("POST_BYTES", 3000)):
+        monkeypatch.setattr(nj, k, v)
+    monkeypatch.setattr(common, "PARTS", 8, raising=False)
+    made = []
+    monkeypatch.setattr(nj, "parts_for", lambda *a: made.append(common.parts_for(*a)) or made[-1])
+    rows = corpus(6)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, nj.jaccard_links(d).collect()), key=str)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    # a record for each block and bucket: a quarter of each, where there are many; lists and tiles have their old sizes
+    assert size > 300 * 8 * 4 and made == [-(-size // x) for x in (1200, 2400, 3000, 150)]
+    assert got == brute(rows)
