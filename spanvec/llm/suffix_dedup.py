@@ -176,7 +176,7 @@ def _spans(docs: DataFrame, length: int, seed: int, finish, schema: str) -> Data
     """finish(block table, row order, texts, spans of each text) -> table, for each block."""
     _, size = text_bytes(docs)
     blocks, buckets = (parts_for(size, x) for x in widened(size, BLOCK_BYTES, BUCKET_BYTES))
-    # as many partitions as blocks and buckets, so that what a task reads doesn't grow with the input
+    # as many partitions as blocks and buckets, so that what a task reads grows to four times at most
     parts = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "__block")
     grouped = parts.groupBy("__block")
 

@@ -101,3 +101,21 @@ def test_empty_documents(spark, tmp_path):
     for t, df in (("documents", docs.limit(0)), ("labels", spark.read.parquet(f"{SF}/labels.parquet").limit(0)), ("benchmark", spark.read.parquet(f"{SF}/benchmark.parquet").limit(0))):
         df.write.parquet(f"file://{tmp_path}/sf/{t}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/sf").count() == 0
+
+
+def test_stages_that_compare_documents_widen_their_blocks(spark, monkeypatch):
+    from spanvec.llm import common, ngram_join
+
+    made = []
+    monkeypatch.setattr(common, "PARTS", 8, raising=False)
+    for m in (ngram_join, suffix_dedup):
+        monkeypatch.setattr(m, "BLOCK_BYTES", 300)
+        monkeypatch.setattr(m, "BUCKET_BYTES", 600)
+        monkeypatch.setattr(m, "parts_for", lambda *a: made.append(common.parts_for(*a)) or made[-1])
+    rows = [(i, " ".join(f"word{i * k % 97}x{i % 60}" for k in range(1, 13))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t) for _, t in rows)
+    comp = {r[0]: r[3] for r in links(rows)}
+    assert sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, SF).collect())) == [r for r in rows if comp[r[0]] == r[0]]
+    assert sorted(map(tuple, corpus_pipeline.cut_repeats(spark, docs, SF).collect())) == cut(rows)
+    assert size > 300 * 8 * 4 and made[:2] == made[-2:] == [-(-size // 1200), -(-size // 2400)]
