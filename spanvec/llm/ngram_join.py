@@ -9,9 +9,10 @@ PERCENT / 100 or more. No step forms all pairs of a group of equal documents or
    n - ceil(n * PERCENT / 100) + SHARED of each. Those in two or more classes are posted. A posting list is cut where
    sizes differ too much to link. Parts of up to SMALL classes only count their pairs, and a pair needs SHARED counts,
    which chance rarely gives. A larger part is named by its least class, and classes under one name form a tile group.
+   Chance repeats grow faster than the input, so pairs travel as sorted 32-bit numbers of classes, some 4 bytes each.
 4. Tiles of a group have at most TILE classes, in order of size. Sizes, then the XOR of folded bitmaps bound the
    overlap from above. First only bitmaps go to the tiles, and then, to smaller ones, the sets of the classes that may
-   have links; those are intersected exactly. Before, a group takes the least name that its classes have, which merges most of
+   have links, as texts, half their sets' size; those are intersected exactly. Before, a group takes the least name that its classes have, which merges most of
    the groups of one cluster; a pair that still shares several groups counts in the one of the least name.
 5. Tiles return, for each class, the number of linked documents and one edge of the tile's spanning forest.
 
@@ -20,11 +21,13 @@ Costs in one group of different, mutually near texts grow with the square of its
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, give_back, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, runs, text_bytes, widened, words_of
@@ -37,7 +40,11 @@ BLOCK_BYTES, BUCKET_BYTES, POST_BYTES = 4 << 20, 8 << 20, 64 << 20
 DRIVER_EDGES = 200_000
 WIDTH = 7  # bytes of a shingle's hash
 #: Classes in a posting list up to which its pairs are counted, and how many shingles such a pair must share.
-SMALL, SHARED = 4, 4
+SMALL, SHARED = 16, 4
+#: What the whole numbers of classes of two blocks differ by.
+WHOLE = 1 << 32
+#: Postings whose pairs are made at a time.
+SLICE = 200_000
 _SETS = "h long, n long, text binary, cnt long, mn long"
 
 
@@ -45,11 +52,22 @@ def pack_set(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
-def unpack_sets(data: list[bytes]) -> np.ndarray:
-    flat = np.frombuffer(b"".join(data), np.uint8).reshape(-1, WIDTH)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :WIDTH] = flat
-    return out.reshape(-1).view(np.uint64)
+@functools.cache
+def _zstd() -> tuple:
+    """One of each for a process; they can't be sent to another."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeeze(a: np.ndarray, width: int) -> bytes:
+    """The low width bytes of each number, first all lowest ones, compressed."""
+    return _zstd()[0].compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def unsqueeze(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(_zstd()[1].decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view(np.int64)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -140,17 +158,15 @@ def _level(df: np.ndarray) -> np.ndarray:
 
 def _frequencies(table: pa.Table) -> pa.Table:
     t = {k: table.column(k).to_pylist() for k in table.column_names}
-    wide = np.zeros((sum(map(len, t["cnt"])), 4), np.uint8)
-    wide[:, :3] = np.frombuffer(b"".join(t["tok"]), np.uint8).reshape(-1, 3)
-    key = wide.reshape(-1).view(np.uint32)
-    cnt = np.frombuffer(b"".join(t["cnt"]), np.uint8).astype(np.int64)
+    toks = [np.cumsum(unsqueeze(x, 3)).astype(np.uint32) for x in t["tok"]]
+    key, cnt = np.concatenate(toks), np.concatenate([unsqueeze(x, 1) for x in t["cnt"]])
     o = np.argsort(key, kind="stable")
     first = np.concatenate(([True], key[o][1:] != key[o][:-1]))
     level = np.empty(len(key), np.uint8)
     level[o] = _level(np.add.reduceat(cnt[o], np.flatnonzero(first)))[np.cumsum(first) - 1]
-    ends = np.cumsum([len(x) for x in t["cnt"]]).tolist()
+    ends = np.cumsum([len(x) for x in toks]).tolist()
     return pa.table(
-        [pa.array(t["block"], pa.int64()), pa.array(t["bucket"], pa.int64()), pa.array([level[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends)], pa.binary())],
+        [pa.array(t["block"], pa.int64()), pa.array(t["bucket"], pa.int64()), pa.array([squeeze(level[i:j], 1) for i, j in zip([0, *ends[:-1]], ends)], pa.binary())],
         names=["block", "bucket", "level"],
     )
 
@@ -160,34 +176,66 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(SHARED, -(-percent * n // 100))
 
 
-def _groups(percent: int):
-    """Of posting lists: (m, h, n) of each class h in a large part named m, need 0; and (m, h) with both sizes, the counts and the counts that are needed of each pair in a small one."""
+def _pairs(percent: int, stride: int, blocks: int, heaps: int):
+    """Of posting lists, by the heap of x and need: the pairs (x, y) of each class y in a large part named x, need 0; and each pair in a small one, with the shared shingles that are needed."""
 
     def run(table: pa.Table) -> pa.Table:
-        col = lambda k, t: np.frombuffer(b"".join(table.column(k).to_pylist()), t)
-        tok, times = col("tok", np.uint32), col("times", np.uint32)
-        h, n = np.repeat(col("h", np.int64), times), np.repeat(col("n", np.int64), times)
+        t = {k: table.column(k).to_pylist() for k in table.column_names}
+        times = [unsqueeze(x, 4) for x in t["times"]]
+        cat = lambda x, each: np.repeat(np.concatenate(x), np.concatenate(each))
+        c = cat([b * stride + np.cumsum(unsqueeze(x, 4)) % stride for b, x in zip(t["block"], t["own"])], times)
+        n, tok = cat([unsqueeze(x, 4) for x in t["n"]], times), np.frombuffer(b"".join(t["tok"]), np.uint32)
         o = np.lexsort((n, tok))
-        tok, h, n = tok[o], h[o], n[o]
+        tok, c, n = tok[o], c[o], n[o]
         cut = np.concatenate(([True], (tok[1:] != tok[:-1]) | (100 * n[:-1] < percent * n[1:])))
         starts = np.flatnonzero(cut)
         size = np.diff(np.append(starts, len(tok)))
-        least, each = np.repeat(np.minimum.reduceat(h, starts), size), np.repeat(size, size)
+        least, each, end = np.repeat(np.minimum.reduceat(c, starts), size), np.repeat(size, size), np.repeat(starts + size, size)
+        out: list[list] = [[], [], [], []]
+
+        def send(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> None:
+            for v in np.unique(need).tolist():
+                k = np.sort(x[need == v] << 32 | y[need == v], kind="stable") if v else np.unique(x[need == v] << 32 | y[need == v])
+                u = k >> 32
+                heap, bounds = cuts_by(u // stride * heaps // blocks)
+                for h, i, j in zip(heap.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    for col, z in zip(out, (h, v, squeeze(np.diff(u[i:j], prepend=0), 4), squeeze(k[i:j] & 0xFFFFFFFF, 4))):
+                        col.append(z)
+
         keep = each > SMALL
-        zero = np.zeros(int(keep.sum()), np.int64)
-        rows = [np.stack((least[keep], h[keep], n[keep], zero, zero, zero))]
-        for gap in range(1, SMALL):  # in a part of SMALL, pairs are at most SMALL - 1 apart
-            i = np.flatnonzero(np.arange(len(tok)) + gap < np.repeat(starts + size, size)) if len(tok) else np.zeros(0, np.int64)
-            i = i[(each[i] <= SMALL) & (100 * n[i] >= percent * n[i + gap])] if len(i) else i
-            j = i + gap
-            flip = h[i] > h[j]
-            x, y = np.where(flip, j, i), np.where(flip, i, j)
-            rows.append(np.stack((h[x], h[y], n[y], n[x], _need(n[j], percent), np.ones(len(i), np.int64))))
-        r = np.concatenate(rows, axis=1)
-        r = r[:, np.lexsort(r[4::-1])]
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(r[:5], axis=1) != 0).any(axis=0)))) if r.shape[1] else np.zeros(0, np.int64)
-        count = np.add.reduceat(r[5], new) if len(new) else new
-        return pa.table([*(pa.array(c) for c in r[:5, new]), pa.array(count)], names=["m", "h", "n", "nm", "need", "cnt"])
+        send(least[keep], c[keep], np.zeros(int(keep.sum()), np.int64))
+        few = np.flatnonzero(~keep)
+        for lo in range(0, len(few), SLICE):
+            act, rows = few[lo : lo + SLICE], [np.zeros((3, 0), np.int64)]
+            for gap in range(1, SMALL):  # in a part of SMALL, pairs are at most SMALL - 1 apart
+                act = act[act + gap < end[act]]
+                i = act[100 * n[act] >= percent * n[act + gap]] if len(act) else act
+                j = i + gap
+                rows.append(np.stack((np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), _need(n[j], percent))))
+            send(*np.concatenate(rows, axis=1))
+        return pa.table([pa.array(z, k) for z, k in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["heap", "need", "x", "y"])
+
+    return run
+
+
+def _named(stride: int):
+    """(m, c) of each class c in a large part named m, or in a pair that shares enough, m the lesser; the group's tiles and the block of c. All that is named m is in one heap."""
+
+    def run(table: pa.Table) -> pa.Table:
+        need, xs, ys = table.column("need").to_numpy(), table.column("x").to_pylist(), table.column("y").to_pylist()
+        found = []
+        for v in np.unique(need).tolist():
+            at = np.flatnonzero(need == v).tolist()
+            k = np.concatenate([np.cumsum(unsqueeze(xs[i], 4)) << 32 | unsqueeze(ys[i], 4) for i in at])
+            k.sort()
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            found.append(k[first[np.diff(np.append(first, len(k))) >= v]])
+        k = np.concatenate(found)
+        x = np.unique(k >> 32)
+        k = np.unique(np.concatenate((k, x << 32 | x)))
+        m, c = k >> 32, k & 0xFFFFFFFF
+        tiles = -(-np.unique(m, return_counts=True)[1] // TILE)
+        return pa.table([m, c, tiles[np.searchsorted(x, m)], c // stride], names=["m", "c", "tiles", "block"])
 
     return run
 
@@ -305,20 +353,20 @@ def _sift(percent: int):
     """By bitmaps alone: the classes of each group that may have a link in it."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, n = (table.column(k).to_numpy() for k in ("h", "n"))
+        c, n = (table.column(k).to_numpy() for k in ("c", "n"))
         maps = table.column("map").to_pylist()
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], []]
         for m, r, side in _tiles(table):
-            r, side = (r[(s := np.lexsort((h[r], n[r])))], None if side is None else side[s])
+            r, side = (r[(s := np.lexsort((c[r], n[r])))], None if side is None else side[s])
             bounds, keep = Bounds(n[r], [np.frombuffer(maps[k], np.uint64) for k in r], percent), np.zeros(len(r), bool)
             for i, j in partners(n[r], side, percent):
                 j = j[bounds.may(i, j)]
                 if len(j):
                     keep[i] = True
                     keep[j] = True
-            for col, v in zip(out, ([m] * int(keep.sum()), h[r[keep]].tolist(), n[r[keep]].tolist())):
+            for col, v in zip(out, ([m] * int(keep.sum()), c[r[keep]].tolist())):
                 col += v
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["m", "h", "n"])
+        return pa.table([pa.array(v, pa.int64()) for v in out], names=["m", "c"])
 
     return run
 
@@ -326,10 +374,10 @@ def _sift(percent: int):
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
         h, n, cnt = (table.column(k).to_numpy() for k in ("h", "n", "cnt"))
-        arr, names = table.column("arr").to_pylist(), table.column("names").to_pylist()
+        texts, names = table.column("text").to_pylist(), table.column("names").to_pylist()
         out: list[list] = [[], [], [], []]
         for m, r, side in _tiles(table):
-            sets = [unpack_sets([arr[k]]) for k in r]
+            sets = shingle_sets([_zstd()[1].decompress(texts[k]) for k in r])
             t = Tile(m, h[r], n[r], side, [np.frombuffer(names[k], np.int64) for k in r], sets, percent)
             weight, links, root = cnt[r][t.o], np.zeros(len(r), np.int64), list(range(len(r)))
 
@@ -359,17 +407,17 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     """(h, n, links, root) of each class in each tile where it has links."""
     _, size = text_bytes(docs)
     blocks, buckets, heaps, tasks = (parts_for(size, x) for x in (*widened(size, BLOCK_BYTES, BUCKET_BYTES), POST_BYTES, BUCKET_BYTES / 4))
-    block = lambda: F.pmod(F.col("h"), F.lit(blocks))
-    grouped = _sets(docs).withColumn("block", block()).groupBy("block")
+    stride = (1 << 31) // blocks  # a class is known by its block and its number there; more classes in a block would share numbers, and then be compared too
+    grouped = _sets(docs).withColumn("block", F.pmod(F.col("h"), F.lit(blocks))).groupBy("block")
 
     def count(key, table):
         b = Block(table)
         tok, _, cnt, o, (bucket, bounds) = b.distinct(buckets)
-        t = (tok[o] >> U64(32)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]  # equal keys of unlike shingles only make these seem more frequent
+        t = tok[o] >> U64(32)  # 24 bits, in order within a bucket; equal keys of unlike shingles only make these seem more frequent
         c = np.minimum(cnt[o], 255).astype(np.uint8)
         parts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         return pa.table(
-            [pa.array(bucket), pa.array([key[0].as_py()] * len(bucket), pa.int64()), pa.array([t[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([c[i:j].tobytes() for i, j in parts], pa.binary())],
+            [pa.array(bucket), pa.array([key[0].as_py()] * len(bucket), pa.int64()), pa.array([squeeze(np.diff(t[i:j], prepend=U64(0)), 3) for i, j in parts], pa.binary()), pa.array([squeeze(c[i:j], 1) for i, j in parts], pa.binary())],
             names=["bucket", "block", "tok", "cnt"],
         )
 
@@ -380,7 +428,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         if len(got) != len(bucket):
             raise RuntimeError(f"{len(got)} replies for {len(bucket)} buckets")
         level = np.empty(len(tok), np.uint8)
-        level[o] = np.frombuffer(b"".join(got), np.uint8)
+        level[o] = np.concatenate([unsqueeze(x, 1) for x in got])
         order = level[inv].astype(np.uint64) << U64(56) | b.tokens
         prefix = np.minimum(b.size - -(-percent * b.size // 100) + SHARED, b.size)
         once = np.add.reduceat(level[inv] == 1, b.ends - b.size, dtype=np.int64)
@@ -396,57 +444,53 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         bucket, bounds = cuts_by(k[s])
         # unlike shingles whose 32 bits agree in a bucket only bring a class more to compare
         t, own = (t[s] >> U64(24)).astype(np.uint32), own[s]
-        hash_of, rows = np.array([k[0] for k in b.keys], np.int64), []
+        rows = []
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             c, times = runs(own[i:j])
-            rows.append((t[i:j].tobytes(), hash_of[c].tobytes(), b.size[c].tobytes(), times.tobytes()))
-        return pa.table([pa.array(bucket), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(4))], names=["bucket", "tok", "h", "n", "times"])
+            rows.append((t[i:j].tobytes(), squeeze(np.diff(c, prepend=0), 4), squeeze(b.size[c], 4), squeeze(times, 4)))
+        return pa.table([pa.array(bucket), pa.array([key[0].as_py()] * len(bucket), pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(4))], names=["bucket", "block", "tok", "own", "n", "times"])
 
-    def deal(kinds: list, names: list[str], more):
-        """Sends each wanted class to the tiles of its group: all pairs of parts that hold its own."""
+    def deal(kinds: list, names: list[str], step: int, more):
+        """Sends each wanted class to the tiles of its group: all pairs of parts that hold its own. step: by how much the numbers c of two blocks differ."""
 
         def run(key, table, wanted):
             b = Block(table)
-            at = {k: i for i, k in enumerate(b.keys)}
+            block = key[0].as_py()
             out: list[list] = [[] for _ in range(6 + len(kinds))]
-            rows = wanted.to_pylist()
-            groups: dict[tuple[int, int], list[int]] = {}
-            for r in rows:
-                groups.setdefault((r["h"], r["n"]), []).append(r["m"])
-            extra = {k: more(b, at[k], v) for k, v in groups.items()}
-            for r in rows:
-                k, side = (r["h"], r["n"]), r["h"] % r["tiles"]
-                for other in range(r["tiles"]):
-                    for col, v in zip(out, (r["m"], min(side, other), max(side, other), *k, side, *extra[k])):
+            rows = [(r["m"], i, r["tiles"]) for r in wanted.to_pylist() for i in range(r["c"] - block * step, len(b.keys), step)]
+            groups: dict[int, list[int]] = {}
+            for m, i, _ in rows:
+                groups.setdefault(i, []).append(m)
+            extra = {i: more(b, i, v) for i, v in groups.items()}
+            for m, i, tiles in rows:
+                c = block * WHOLE + i
+                side = c % tiles
+                for other in range(tiles):
+                    for col, v in zip(out, (m, min(side, other), max(side, other), c, b.keys[i][1], side, *extra[i])):
                         col.append(v)
-            return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 6 + kinds)], names=["m", "a", "b", "h", "n", "side", *names])
+            return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 6 + kinds)], names=["m", "a", "b", "c", "n", "side", *names])
 
         return run
 
     def with_map(b: Block, i: int, groups: list[int]) -> tuple:
         return (bitmap(b.set(i), width_for(int(b.size[i]))).tobytes(),)
 
-    def with_set(b: Block, i: int, groups: list[int]) -> tuple:
-        return b.rows[i][1], pack_set(b.set(i)), np.array(sorted({*groups}), np.int64).tobytes()
-
-    def tiled(named: DataFrame):
-        large = named.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TILE).select(F.col("m").alias("lm"), F.ceil(F.col("c") / TILE).cast("long").alias("tiles"))
-        return named.join(large, named.m == large.lm, "left").select("m", "h", "n", F.coalesce("tiles", F.lit(1)).cast("long").alias("tiles")).withColumn("block", block()).groupBy("block")
+    def with_text(b: Block, i: int, groups: list[int]) -> tuple:
+        return b.keys[i][0], b.rows[i][1], b.rows[i][0], np.array(sorted({*groups}), np.int64).tobytes()
 
     counts = grouped.applyInArrow(count, "bucket long, block long, tok binary, cnt binary")
     levels = counts.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket long, level binary")
-    posts = grouped.cogroup(levels.groupBy("block")).applyInArrow(post, "bucket long, tok binary, h binary, n binary, times binary")
-    found = posts.groupBy("bucket").applyInArrow(_groups(percent), "m long, h long, n long, nm long, need long, cnt long")
-    found = found.groupBy("m", "h", "n", "nm", "need").agg(F.sum("cnt").alias("cnt")).where("cnt >= need")
-    both = F.when(F.col("need") > 0, F.array(F.struct("h", "n"), F.struct(F.col("m").alias("h"), F.col("nm").alias("n")))).otherwise(F.array(F.struct("h", "n")))
-    named = found.select("m", F.explode(both).alias("r")).select("m", "r.h", "r.n").distinct()
+    posts = grouped.cogroup(levels.groupBy("block")).applyInArrow(post, "bucket long, block long, tok binary, own binary, n binary, times binary")
+    pairs = posts.groupBy("bucket").applyInArrow(_pairs(percent, stride, blocks, heaps), "heap long, need long, x binary, y binary")
+    named = pairs.groupBy("heap").applyInArrow(_named(stride), "m long, c long, tiles long, block long")
     task = F.pmod(F.xxhash64("m", "a", "b"), F.lit(tasks)).alias("task")
-    place = "m long, a long, b long, h long, n long, side long"
-    maps = grouped.cogroup(tiled(named)).applyInArrow(deal([pa.binary()], ["map"], with_map), f"{place}, map binary")
-    likely = maps.groupBy(task).applyInArrow(_sift(percent), "m long, h long, n long").distinct()
-    least = likely.join(likely.groupBy("h", "n").agg(F.min("m").alias("l")), ["h", "n"]).groupBy("m").agg(F.min("l").alias("l"))
-    likely = likely.join(least, "m").select(F.col("l").alias("m"), "h", "n").distinct()
-    sets = grouped.cogroup(tiled(likely)).applyInArrow(deal([pa.int64(), pa.binary(), pa.binary()], ["cnt", "arr", "names"], with_set), f"{place}, cnt long, arr binary, names binary")
+    place = "m long, a long, b long, c long, n long, side long"
+    maps = grouped.cogroup(named.groupBy("block")).applyInArrow(deal([pa.binary()], ["map"], stride, with_map), f"{place}, map binary")
+    likely = maps.groupBy(task).applyInArrow(_sift(percent), "m long, c long").distinct()
+    # windows, as a join with its own sums would run all of the above again
+    likely = likely.withColumn("l", F.min("m").over(Window.partitionBy("c"))).select(F.min("l").over(Window.partitionBy("m")).alias("m"), "c").distinct()
+    likely = likely.withColumn("tiles", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("m")) / TILE).cast("long")).withColumn("block", F.shiftright("c", 32))
+    sets = grouped.cogroup(likely.groupBy("block")).applyInArrow(deal([pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["h", "cnt", "text", "names"], WHOLE, with_text), f"{place}, h long, cnt long, text binary, names binary")
     return sets.groupBy(task).applyInArrow(_compare(percent), "h long, n long, links long, root long")
 
 

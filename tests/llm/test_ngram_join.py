@@ -106,3 +106,25 @@ def test_blocks_widen_with_the_input(spark, monkeypatch):
     # a record for each block and bucket: a quarter of each, where there are many; lists and tiles have their old sizes
     assert size > 300 * 8 * 4 and made == [-(-size // x) for x in (1200, 2400, 3000, 150)]
     assert got == brute(rows)
+
+
+def shuffled(spark):
+    """Bytes of each file of a shuffle that there is now."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getPath(): f.length() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+
+def scattered(n):
+    """Texts of 60 words, of which most shingles occur in two to a dozen of them by chance."""
+    r = random.Random(11)
+    return [(i, " ".join(f"{r.randrange(150):x}q{r.randrange(2)}" for _ in range(60))) for i in range(n)]
+
+
+def test_chance_repeats_take_little_room(spark):
+    rows = scattered(8000)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    old = shuffled(spark)
+    links = nj._linked(d, nj.PERCENT)
+    assert links.count() == 0
+    new = sum(v for k, v in shuffled(spark).items() if k not in old)
+    assert new < 4 * sum(len(t) for _, t in rows)
