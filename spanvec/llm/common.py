@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import arrow, materialise, qualified, shared_dir  # noqa: F401 - for the operators
+from ..sources.storage import arrow, let_go, materialise, qualified, shared_dir  # noqa: F401 - for the operators
 
 U64 = np.uint64
 #: Lower-cases A-Z and turns every byte outside 0-9, a-z and non-ASCII into a space.

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, give_back, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, runs, text_bytes, widened, words_of
+from .common import LOWER_WS, U64, binaries, bucket_of, chunks, cuts_by, doc_columns, give_back, let_go, longs, map_batches, materialise, mix, null_mask, pair, parts_for, read, runs, text_bytes, widened, words_of
 
 PERCENT = 60
 TILE = 2048
@@ -574,6 +574,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, driver_edges: int = DRIVER
     """
     found = _classes(docs, percent, driver_edges)[1].where("doc_id is not null").select("doc_id", "t", "comp", "component_id")
     found = materialise(found.groupBy("doc_id", "t", "comp", "component_id").agg(F.count(F.lit(1)).alias("same")), "groups")
+    let_go(docs.sparkSession)  # what was shuffled to compare documents, before they are shuffled themselves
     own = found.where("doc_id = component_id").groupBy(F.col("comp").alias("c")).agg(F.min("t").alias("kept"))
     found = found.join(own, F.col("comp") == F.col("c"))
     stays = (F.col("doc_id") == F.col("component_id")) & (F.col("t") == F.col("kept"))

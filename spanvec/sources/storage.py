@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import os
 import shutil
@@ -219,3 +220,9 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark, path = df.sparkSession, shared_dir(df.sparkSession, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files that no plan needs are deleted soon, rather than when the driver happens to collect its garbage. Python tells of what it dropped within a second, so plans dropped earlier are meant."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

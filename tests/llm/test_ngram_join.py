@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -128,3 +129,23 @@ def test_chance_repeats_take_little_room(spark):
     assert links.count() == 0
     new = sum(v for k, v in shuffled(spark).items() if k not in old)
     assert new < 4 * sum(len(t) for _, t in rows)
+
+
+def test_shuffles_are_let_go_before_documents_are_joined(spark, monkeypatch):
+    def aged(df, what, real=nj.materialise):
+        """What was in use at a full collection is not freed by the small ones that follow."""
+        table = real(df, what)
+        if what == "links":
+            spark.sparkContext._jvm.System.gc()
+        return table
+
+    monkeypatch.setattr(nj, "materialise", aged)
+    d = spark.createDataFrame(scattered(4000), "doc_id long, text string").repartition(4)
+    old = shuffled(spark)
+    kept = nj.keep_one(d)
+    for _ in range(40):
+        left = sum(v for k, v in shuffled(spark).items() if k not in old)
+        if left < 200_000:
+            break
+        time.sleep(0.5)
+    assert left < 200_000 and kept.count() == 4000
